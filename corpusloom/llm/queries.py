@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chosen_path, components, leakage, packing, splitting, visual
+from corpusloom.llm import chosen_path, components, leakage, packing, pii, splitting, visual
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -57,7 +57,16 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps)}
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    got = pii.find_personal(table(spark, d, "documents"), table(spark, d, "roster"))
+    return got.select("doc_id", "kind", "value").distinct()
+
+
+def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "roster"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p4_found": """
