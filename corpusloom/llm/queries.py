@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chosen_path, components, leakage, packing, pii, splitting, visual
+from corpusloom.llm import chosen_path, components, leakage, ocr, packing, pii, splitting, visual
 from corpusloom.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return chosen_path.near_duplicate_groups(table(spark, d, "question_bank"), "id", chosen_path.question_text())
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.defects(table(spark, d, "chunks"), table(spark, d, "wordlist"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.same_looks(table(spark, d, "canonical_concepts"))
 
@@ -66,7 +70,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "roster"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p4_found": """
