@@ -34,7 +34,7 @@ from corpusloom.llm.boosting import Booster
 from corpusloom.plans.lineage import cut
 
 #: Bounds of the generated training data.
-TRAIN_PAGES, TRAIN_WORDS = 900, 1500
+TRAIN_PAGES, TRAIN_WORDS = 900, 6000
 #: Words a list may have; it is held by every worker.
 MAX_WORDS = 2_000_000
 Q = 2
@@ -44,6 +44,7 @@ HYPHENS = "-¬\xad‐‑"
 MISREADINGS = {
     "d": ("cl",), "m": ("rn", "in"), "w": ("vv",), "h": ("b", "li"), "n": ("ri",), "u": ("ii",), "e": ("c",), "l": ("1", "i"), "i": ("l", "1"),
     "s": ("5",), "o": ("0",), "g": ("9", "q"), "b": ("6", "h"), "t": ("f",), "c": ("e",), "a": ("o",), "z": ("2",), "q": ("g",), "rn": ("m",), "in": ("m",), "ri": ("n",), "li": ("h",), "cl": ("d",), "ii": ("u",), "vv": ("w",), "f": ("t",),
+    "ti": ("ü",), "ü": ("ii", "u"), "ä": ("a",), "ö": ("6", "o"), "ß": ("b",), "é": ("e",), "ï": ("i",), "ë": ("e",), "ç": ("c",), "nn": ("rm",), "ni": ("m",), "y": ("v",), "v": ("y",), "r": ("n",), "k": ("lc",),
 }
 # Words that stand with a page's number.
 PAGE_WORDS = ("page", "pages", "seite", "blatt", "folio", "página", "p", "pg", "pag", "s")
@@ -365,13 +366,16 @@ def models(words: frozenset[str]) -> tuple[Booster, Booster, Booster]:
     for _ in range(TRAIN_WORDS):
         w = r.choice(listed)
         x = misread(w, r, r.choice((1, 1, 1, 2)))
+        if r.random() < 0.2:  # at the end, where inflected forms compete
+            end = max((k for k in MISREADINGS if w.endswith(k)), key=len, default="")
+            x = w[: len(w) - len(end)] + r.choice(MISREADINGS[end]) if end else x
         if x in words or len(w) < 2:
             continue
         hits: dict[str, int] = {}
         for g in qgrams(x):
             for c in index.get(g, ()):
                 hits[c] = hits.get(c, 0) + 1
-        for c, n in hits.items():
+        for c, n in sorted(hits.items(), key=lambda h: (-h[1], h[0]))[:8] + [(w, hits.get(w, 0))]:
             if enough(n, len(x), len(c)):
                 rx.append(rank_features(x, c, n))
                 ry.append(c == w)
@@ -398,8 +402,8 @@ def qgrams(word: str) -> list[str]:
 
 
 def enough(shared: int, a: int, b: int) -> bool:
-    """Whether shared q-grams make a candidate: a quarter of the shorter side's at least."""
-    return 4 * shared >= min(a, b) + 1 and abs(a - b) <= 3
+    """Whether shared q-grams make a candidate: about half of the shorter side's at least."""
+    return 2 * shared >= min(a, b) and abs(a - b) <= 3
 
 
 _READ_AS = {(k, v) for k, vs in MISREADINGS.items() for v in vs}
@@ -442,7 +446,7 @@ def corrections(unknown: DataFrame, wordlist: DataFrame, words: frozenset[str])
     left = unknown.select("read", F.explode(_grams("read")).alias("g"))
     right = wordlist.select("word", F.explode(_grams("word")).alias("g"))
     near = left.join(right, "g").where(F.abs(F.length("read") - F.length("word")) <= 3).groupBy("read", "word").agg(F.count(F.lit(1)).alias("shared"))
-    near = near.where(4 * F.col("shared") >= F.least(F.length("read"), F.length("word")) + 1)
+    near = near.where(2 * F.col("shared") >= F.least(F.length("read"), F.length("word")))
 
     model = models(words)[2]
 
@@ -592,6 +596,10 @@ class Reader:
                 nxt = w[k].lines[rest[0]]
                 break
         skip_first = self._joined_before(w, own)
+        if skip_first:
+            out.append((0, "joined", "", ""))
+        if body and not page.lines[body[0]][:1].isspace() and (skip_first or not self._ended_before(w)):
+            out.append((0, "continues", "", ""))
         pairs = []
         for a, i in enumerate(body):
             tokens = page.lines[i].split()
@@ -613,6 +621,17 @@ class Reader:
                     pairs.append((i + 1, "misread_word", "", z))
         return out + pairs
 
+    def _ended_before(self, w: list[Page | None]) -> bool:
+        """Whether a paragraph ended on the page before."""
+        if w[1] is None:
+            return True
+        f = self.furniture(w, 1)
+        rest = [j for j in w[1].full if j not in f]
+        if not rest:
+            return True
+        last = w[1].lines[rest[-1]].rstrip()
+        return last[-1] in ".?!:" and len(last) < 0.85 * w[1].width
+
     def _joined_before(self, w: list[Page | None], own: dict[int, str]) -> bool:
         """Whether the page begins with the rest of a word."""
         for k in (1, 0):
@@ -668,5 +687,118 @@ def defects(chunks: DataFrame, wordlist: DataFrame) -> DataFrame:
     unknown = seen.where("unknown <> ''").select(F.col("unknown").alias("read")).distinct()
     fixed = corrections(unknown, wordlist.select(F.lower("word").alias("word")).where("word <> ''").distinct(), words)
     looked = seen.where("unknown <> ''").join(fixed, F.col("unknown") == F.col("read")).select("chunk_id", "line_no", "defect", F.col("word").alias("repaired"))
-    return seen.where("unknown = ''").select("chunk_id", "line_no", "defect", "repaired").unionByName(looked).distinct()
+    return seen.where("unknown = '' and line_no > 0").select("chunk_id", "line_no", "defect", "repaired").unionByName(looked).distinct()
+
+
+def assemble(text: str, marks: list[dict]) -> tuple[bool, list[str]]:
+    """(continues, paragraphs) of a page from its text and what was found in it."""
+    lines = text.split("\n")
+    gone = {m["line_no"] - 1 for m in marks if m["defect"] in ("page_number", "running_line")}
+    whole = {m["line_no"] - 1: m["word"] for m in marks if m["defect"] == "split_word"}
+    words: dict[int, dict[str, str]] = {}
+    for m in marks:
+        if m["defect"] == "misread_word":
+            words.setdefault(m["line_no"] - 1, {})[m["unknown"]] = m["word"]
+    skip = any(m["defect"] == "joined" for m in marks)
+    out: list[list[str]] = []
+    blank = True
+    for i, line in enumerate(lines):
+        if i in gone:
+            continue
+        tokens = line.split()
+        if not tokens:
+            blank = True
+            continue
+        if blank and not (out and skip) or line[:1].isspace() and not skip:
+            out.append([])
+        blank = False
+        if skip:
+            tokens = tokens[1:]
+        skip = False
+        own = words.get(i, {})
+        for k, t in enumerate(tokens):
+            z = bare_word(t)
+            if k == len(tokens) - 1 and i in whole:
+                tokens[k] = _cased(t, whole[i])
+                skip = True
+            elif z in own:
+                at = t.lower().find(z)
+                tokens[k] = t[:at] + _cased(t[at:], own[z]) + t[at + len(z) :] if at >= 0 else t
+        # the rest of a broken word brought its punctuation along
+        out[-1] += tokens
+        if skip and (n := next((x for x in lines[i + 1 :] if x.strip()), None)):
+            tail = re.search(r"[.,;:?!)]+$", n.split()[0])
+            if tail:
+                out[-1][-1] += tail[0]
+    return any(m["defect"] == "continues" for m in marks), [" ".join(p) for p in out if p]
+
+
+def _cased(like: str, word: str) -> str:
+    letters = [c for c in like if c.isalpha()]
+    if len(letters) > 1 and all(c.isupper() for c in letters):
+        return word.upper()
+    return word[:1].upper() + word[1:] if letters[:1] and letters[0].isupper() else word
+
+
+def paragraphs(chunks: DataFrame, wordlist: DataFrame) -> DataFrame:
+    """(document_name, chunk_id, paragraph_no, text): continuous paragraphs of scanned pages.
+
+    A paragraph that runs over pages is one row, under the page it begins on. Misread words
+    are replaced in their case, broken words whole, furniture is gone. See ``defects`` for
+    nulls and repeats.
+    """
+    words = word_set(wordlist)
+    pages = pages_in_order(chunks)
+    seen = cut(_suspects(pages, words, neighbours(pages)))
+    unknown = seen.where("unknown <> ''").select(F.col("unknown").alias("read")).distinct()
+    fixed = corrections(unknown, wordlist.select(F.lower("word").alias("word")).where("word <> ''").distinct(), words)
+    looked = seen.join(fixed, F.col("unknown") == F.col("read"), "left").withColumn("word", F.when(F.col("unknown") == "", F.col("repaired")).otherwise(F.coalesce("word", "unknown")))
+    marks = looked.groupBy("doc", F.col("chunk_id").alias("chunk")).agg(F.collect_list(F.struct("line_no", "defect", "unknown", "word")).alias("marks"))
+    both = pages.dropDuplicates(["doc", "chunk"]).join(marks, ["doc", "chunk"], "left").select("doc", "chunk", "text", "marks")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [assemble(x, m or []) for x, m in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([c for c, _ in made], pa.bool_()), pa.array([p for _, p in made], pa.list_(pa.string()))], names=["doc", "chunk", "continues", "parts"])
+
+    done = both.mapInArrow(build, "doc string, chunk string, continues boolean, parts array<string>").where(F.size("parts") > 0)
+    done = cut(done.repartitionByRange("doc", "chunk").sortWithinPartitions("doc", "chunk"))
+
+    def starts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The document the partition ends in and the page its last paragraph begins on."""
+        doc = key = None
+        for b in batches:
+            for d, c, on, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), pa.compute.list_value_length(b.column(3)).to_pylist()):
+                if d != doc:
+                    doc, key = d, None
+                if n > 1 or not on:
+                    key = (c, n - 1)
+        if doc is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([doc]), pa.array([key and key[0]], pa.string()), pa.array([key and key[1]], pa.int64())], names=["pid", "doc", "chunk", "n"])
+
+    import pyarrow.compute  # noqa: F401
+
+    open_: dict[int, tuple[str, tuple[str, int] | None]] = {}  # one row of each partition
+    last: tuple[str, tuple[str, int] | None] = ("", None)
+    for r in sorted(done.mapInArrow(starts, "pid bigint, doc string, chunk string, n bigint").collect()):
+        open_[r.pid] = last
+        last = (r.doc, (r.chunk, r.n) if r.chunk is not None else (last[1] if last[0] == r.doc else None))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, key = open_.get(TaskContext.get().partitionId(), ("", None))
+        for b in batches:
+            rows = []
+            for d, c, on, parts in zip(*(b.column(i).to_pylist() for i in range(4))):
+                if d != doc:
+                    doc, key = d, None
+                for n, x in enumerate(parts):
+                    if n or not on or key is None:
+                        key = (c, n)
+                    rows.append((d, key[0], key[1], c, x))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in zip(*rows)], names=["doc", "start", "n", "chunk", "text"])
+
+    pieces = done.mapInArrow(keyed, "doc string, start string, n bigint, chunk string, text string")
+    joined = pieces.groupBy("doc", "start", "n").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("p"))
+    return joined.select(F.col("doc").alias("document_name"), F.col("start").alias("chunk_id"), F.col("n").alias("paragraph_no"), F.array_join(F.transform("p", lambda x: x["text"]), " ").alias("text"))
 

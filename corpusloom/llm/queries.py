@@ -25,6 +25,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return ocr.defects(table(spark, d, "chunks"), table(spark, d, "wordlist"))
 
 
+def p2_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    return ocr.paragraphs(table(spark, d, "chunks"), table(spark, d, "wordlist"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return visual.same_looks(table(spark, d, "canonical_concepts"))
 
@@ -70,7 +74,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "roster"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_paragraphs, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p4_found": """
