@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpusloom.catalog import retrieval
 from corpusloom.operators import hierarchy
 from corpusloom.sources.tables import table
 
@@ -17,6 +18,8 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return full.select("node_id", "root_id", "depth", "path", "n_descendants")
 
 
+AREAS = (retrieval,)
+
 QUERIES: dict[str, Query] = {"p5_found": p5_found}
 
 SQL: dict[str, str] = {
@@ -38,3 +41,7 @@ SQL: dict[str, str] = {
         select u.node as node_id, coalesce(t.root, '') as root_id, coalesce(t.depth, -1)::bigint as depth, coalesce(t.path, '') as path, coalesce(c.n, 0)::bigint as n_descendants
         from up u left join tree t on t.node = u.node left join counts c on c.anc = u.node""",
 }
+
+for _area in AREAS:
+    QUERIES |= _area.QUERIES
+    SQL |= _area.SQL
