@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.functions import irt
+from corpusloom.plans.lineage import cut
 
 
 def _clip(p: Column) -> Column:
@@ -47,15 +53,59 @@ def two_pl(answers: DataFrame, least: int = 100) -> DataFrame:
     return g.select("question_id", "n", F.when(none, 1.0).otherwise(F.round(a, 2)).alias("a"), F.when(none, F.round(-_logit(_clip(F.col("p"))), 2)).otherwise(F.round(b, 2)).alias("b"))
 
 
-def folded(answers: DataFrame, *keys: str, rounded: bool = False) -> DataFrame:
+#: Answers of one key that are folded as one array.
+BLOCK = 500_000
+
+
+def folded(answers: DataFrame, *keys: str, rounded: bool = False, block: int = BLOCK) -> DataFrame:
     """(keys, theta, n, correct, streak): ability folded over each key's answers in time order.
 
-    Clipping makes the fold sequential, so a key's answers are one sorted array of
-    (time, id, correct) triples, 17 bytes each: a learner's whole history, never a text.
-    ``streak`` grows with right answers and falls below zero with wrong ones.
+    Clipping makes the fold sequential. A key's answers are one sorted array of (time, id,
+    correct) triples while there are ``block`` of them at most; keys with more are spread
+    over range partitions and folded one partition after the other, with only the state
+    passed on, so no task or array grows with the hottest key. ``streak`` grows with right
+    answers and falls below zero with wrong ones; a null outcome counts as wrong.
     """
-    step = F.struct("answered_at", "answer_id", F.coalesce(F.col("is_correct").cast("int"), F.lit(0)).alias("ok"))
-    g = answers.groupBy(*keys).agg(F.array_sort(F.collect_list(step)).alias("h"))
+    rows = answers.select(*keys, "answered_at", "answer_id", F.coalesce(F.col("is_correct").cast("int"), F.lit(0)).alias("ok"))
+    hot = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block)
+    found = hot.collect()  # at most (all answers / block) keys
+    if not found:
+        return _fold_arrays(rows, keys, rounded)
+    few = F.broadcast(answers.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in found], rows.select(*keys).schema))
+    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    cold = rows.alias("r").join(few.alias("f"), same, "left_anti")
+    parts = -(-sum(r.n for r in found) // block)
+    spread = rows.alias("r").join(few.alias("f"), same, "left_semi").repartitionByRange(parts, *keys, "answered_at", "answer_id")
+    sorted_ = cut(spread.sortWithinPartitions(*keys, "answered_at", "answer_id").withColumn("part", F.spark_partition_id()))
+    state: dict[tuple, tuple[float, int, int, int]] = {}
+    schema = T.StructType([*rows.select(*keys).schema.fields, *T._parse_datatype_string("theta double, n bigint, correct bigint, streak bigint").fields])
+    for i in range(sorted_.rdd.getNumPartitions()):
+        before = dict(state)
+
+        def run(batches: Iterator[pd.DataFrame], before: dict = before) -> Iterator[pd.DataFrame]:
+            own: dict[tuple, tuple[float, int, int, int]] = {}
+            for pdf in batches:
+                for *key, ok in pdf[[*keys, "ok"]].itertuples(index=False, name=None):
+                    k = tuple(key)
+                    own[k] = _stepped(own.get(k, before.get(k, (0.0, 0, 0, 0))), ok, rounded)
+            if own:
+                yield pd.DataFrame([(*k, *v) for k, v in own.items()], columns=[f.name for f in schema.fields])
+
+        for r in sorted_.where(F.col("part") == i).mapInPandas(run, schema).collect():
+            state[tuple(r[k] for k in keys)] = (r.theta, r.n, r.correct, r.streak)
+    done = answers.sparkSession.createDataFrame([(*k, *v) for k, v in state.items()], schema)
+    return _fold_arrays(cold, keys, rounded).unionByName(done)
+
+
+def _stepped(s: tuple[float, int, int, int], ok: int, rounded: bool) -> tuple[float, int, int, int]:
+    theta, n, correct, streak = s
+    theta = max(irt.LOW, min(irt.HIGH, theta + irt.RATE * (ok - (irt.GUESS + (1 - irt.GUESS) / (1 + math.exp(-theta))))))
+    streak = (streak + 1 if streak >= 0 else 1) if ok else (streak - 1 if streak <= 0 else -1)
+    return round(theta, 2) if rounded else theta, n + 1, correct + ok, streak
+
+
+def _fold_arrays(rows: DataFrame, keys: tuple[str, ...], rounded: bool) -> DataFrame:
+    g = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("answered_at", "answer_id", "ok"))).alias("h"))
     theta = F.aggregate("h", F.lit(0.0), lambda t, x: irt.stepped(t, x["ok"], rounded))
     streak = F.aggregate("h", F.lit(0), lambda s, x: F.when(x["ok"] == 1, F.when(s >= 0, s + 1).otherwise(1)).otherwise(F.when(s <= 0, s - 1).otherwise(-1)))
     correct = F.aggregate("h", F.lit(0).cast("bigint"), lambda s, x: s + x["ok"])

@@ -84,7 +84,12 @@ def candidate_pairs(p: DataFrame) -> DataFrame:
     equal = n.join(n.select(F.col("norm").alias("r"), "base"), "base").select(F.col("norm").alias("l"), "r")
     forms = n.select("norm", F.explode(F.array_distinct(F.array("norm", "base"))).alias("form"))
     heads = forms.select(F.col("norm").alias("r"), F.col("form").alias("short"), F.substring("form", 1, 4).alias("gram"))
-    grams = F.array_distinct(F.flatten(F.array(*[F.when(F.length("form") >= k, F.transform(F.sequence(F.lit(1), F.length("form") - (k - 1)), lambda i, k=k: F.substring("form", i, F.lit(k)))).otherwise(F.array().cast("array<string>")) for k in range(1, 5)])))
+
+    def cut(k: int) -> Column:
+        every = F.transform(F.sequence(F.lit(1), F.length("form") - (k - 1)), lambda i: F.substring("form", i, F.lit(k)))
+        return F.when(F.length("form") >= k, every).otherwise(F.array().cast("array<string>"))
+
+    grams = F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(1, 5)])))
     inside = forms.select(F.col("norm").alias("l"), "form", F.explode(grams).alias("gram")).join(heads, "gram").where((F.length("short") <= F.length("form")) & F.col("form").contains(F.col("short")))
     every = alias.select("l", "r").unionByName(equal).unionByName(inside.select("l", "r")).where("l <> r")
     return every.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
