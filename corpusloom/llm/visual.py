@@ -90,7 +90,7 @@ def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for b in batches:
         if b.num_rows:
             con.register("batch", pa.table({"t": b.column(b.num_columns - 1)}))
-            got = con.execute(sql).to_arrow_table().column("form").combine_chunks()
+            got = con.sql(sql).to_arrow_table().column("form").combine_chunks()
             con.unregister("batch")
             yield pa.RecordBatch.from_arrays([*b.columns, got.cast(pa.string())], names=[*b.schema.names, "form"])
 
