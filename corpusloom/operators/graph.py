@@ -121,17 +121,29 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, by label propagation with shortcuts."""
-    both = cut(undirected(edges).distinct())
-    label = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    """(node, component): smallest node reachable, by hooking, shortcuts and contraction.
+
+    Each round every label hooks onto the smallest label beside it, the chains that form are
+    halved until flat, and edges are contracted to labels; at most half of a component's
+    labels are left, so rounds are logarithmic and the edges shrink.
+    """
+    links = cut(undirected(edges).distinct())
+    label = cut(links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    links = links.where("a <> b")
     while True:
-        near = both.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
-        low = label.join(near, "node", "left").select("node", F.col("component").alias("old"), F.least("component", F.coalesce("low", "component")).alias("component"))
-        hop = label.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = cut(low.join(hop, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
-        label = new.select("node", "component")
-        if new.where("old <> component").isEmpty():
+        hooks = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+        if hooks.isEmpty():
             return label
+        while True:  # node -> up -> up: a label's chain falls strictly, so it has no cycle
+            above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
+            step = cut(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            hooks = step.select("node", "up")
+            if step.where("moved").isEmpty():
+                break
+        to = hooks.select(F.col("node").alias("component"), "up")
+        label = cut(label.join(to, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        one = links.join(hooks.withColumnRenamed("node", "a"), "a").select(F.col("up").alias("x"), "b")
+        links = cut(one.join(hooks.withColumnRenamed("node", "b"), "b").select(F.col("x").alias("a"), F.col("up").alias("b")).where("a <> b").distinct())
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:

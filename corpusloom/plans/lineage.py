@@ -4,7 +4,15 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in tests."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    return sc.getConf().get("spark.checkpoint.dir") or str(sc.getCheckpointDir())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -13,8 +21,5 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
     setting is absent (tests, notebooks in local mode) a temporary folder is set.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -7,20 +7,34 @@ read as UTC.
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from corpusloom.plans.lineage import shared_folder
+
 LATE = "2 hours"
 
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A file stream over Parquet parts, ``files`` each trigger, with ts as a UTC timestamp."""
+    """A file stream over Parquet parts, ``files`` each trigger, with ts as a UTC timestamp.
+
+    ``path`` is a folder of parts or one file, which is streamed from its folder by name.
+    """
     schema = spark.read.parquet(path).schema
-    x = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        folder, _, name = path.rpartition("/")
+        x = stream.option("pathGlobFilter", name).parquet(folder)
+    else:
+        x = stream.parquet(path)
     return x.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
@@ -48,7 +62,7 @@ def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Ite
     theta, n, streak = state.get if state.exists else (0.0, 0, 0)
     rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
     for ok in rows["correct"]:
-        p = 0.25 + 0.75 / (1 + pow(2.718281828459045, -theta))
+        p = 0.25 + 0.75 / (1 + math.exp(-theta))
         theta = max(-3.0, min(3.0, theta + 0.3 * (float(ok) - p)))
         streak = (streak + 1 if streak >= 0 else 1) if ok else (streak - 1 if streak <= 0 else -1)
         n += 1
@@ -64,11 +78,27 @@ def ability(answers: DataFrame) -> DataFrame:
     return answers.groupBy("user_id").applyInPandasWithState(_fold, f"user_id {kind}, theta double, n bigint, streak bigint", "theta double, n bigint, streak bigint", "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Drive a stream over what is there now into a memory table and return it."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    try:
-        q.awaitTermination()
-    finally:
-        q.stop()
-    return df.sparkSession.table(name)
+def run_to_files(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """Drive a stream over what is there now and return what it wrote, with its batch.
+
+    Each micro-batch overwrites its own folder below the shared one, so a repeated batch
+    changes nothing, and the results never pass through the driver.
+    """
+    spark = df.sparkSession
+    root = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{root}/out/nr={n}")
+
+    q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/state").foreachBatch(write).trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception():
+        raise RuntimeError(str(q.exception()))
+    schema = T.StructType([*df.schema.fields, T.StructField("batch", T.IntegerType())])
+    return spark.read.schema(schema).parquet(f"{root}/out").drop("nr")
+
+
+def last_state(updates: DataFrame, *keys: str) -> DataFrame:
+    """The last update of each key of a stream in update mode."""
+    rest = [c for c in updates.columns if c not in (*keys, "batch")]
+    return updates.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("s")).select(*keys, "s.*")
