@@ -208,7 +208,7 @@ def similar_sets(reps: DataFrame, threshold: float = 0.7, trees: int = 12, leaf:
 
 def text_classes(df: DataFrame, key: str, text: Column) -> DataFrame:
     """(id, bare, k): distinct ids with their bare forms and the digest of the form."""
-    rows = df.select(F.col(key).cast("string").alias("id"), bare_form(text).alias("bare")).where("id is not null")
+    rows = df.select(F.col(key).cast("string").alias("id"), F.coalesce(bare_form(text), F.lit("")).alias("bare")).where("id is not null")
     return rows.withColumn("k", F.md5(F.col("bare"))).dropDuplicates(["id", "k"])
 
 

@@ -280,7 +280,7 @@ def generated_book(words: list[str], r: random.Random) -> tuple[list[Page], list
             top.append(num)
         lines: list[str] = []
         split: dict[int, str] = {}
-        room = r.randint(14, 26)
+        room = r.randint(14, 26) if r.random() < 0.85 else r.randint(2, 10)
         while len(lines) < room:
             if not body:
                 if lines and indent[1]:

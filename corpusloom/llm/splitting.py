@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from corpusloom.llm.visual import clear_of
+
 LIMIT, OVERLAP = 3000, 200
 #: Characters of a range, and bytes of a range of a file.
 RANGE, FILE_RANGE = 1_000_000, 4_000_000
@@ -58,9 +60,11 @@ def boundary_table(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at + 1, k
 
 
-def cut_range(pos: np.ndarray, kind: np.ndarray, start: int, end: int, limit: int, overlap: int) -> list[tuple[int, int, bool]]:
+def cut_range(pos: np.ndarray, kind: np.ndarray, start: int, end: int, limit: int, overlap: int, torn: bool = False) -> list[tuple[int, int, bool]]:
     """Pieces (start, end, hard) of [start, end), each at most ``limit`` long.
 
+    ``torn`` tells that ``end`` itself is no boundary, nor the end of the text.
+
     A piece ends at the strongest, then latest boundary in the second half of what fits;
     else at the latest boundary that fits; then again without the overlap; else at the limit.
     """
@@ -69,7 +73,7 @@ def cut_range(pos: np.ndarray, kind: np.ndarray, start: int, end: int, limit: in
     while e < end:
         hard = False
         if end - s <= limit:
-            nxt = end
+            nxt, hard = end, torn
         else:
             nxt = -1
             for s in dict.fromkeys((s, e)):
@@ -115,7 +119,7 @@ def split_text(text: str, limit: int = LIMIT, overlap: int = OVERLAP, size: int
         pos = pos + halo
         start = edge(pos, a, limit) if a else 0
         end = edge(pos, b, limit) if b < len(codes) else b
-        out += cut_range(pos, kind, start, end, limit, overlap)
+        out += cut_range(pos, kind, start, end, limit, overlap, b < len(codes) and end not in pos)
     return out
 
 
@@ -129,12 +133,14 @@ def split_rows(df: DataFrame, text: str, limit: int = LIMIT, overlap: int = OVER
     """Pieces of the rows whose ``text`` has more than ``limit`` code points.
 
     Every other column is kept beside start, end (code points), hard (cut where no boundary
-    is) and piece. Null, empty and short texts give no row, repeated rows repeat. Raises
-    if the input has one of the new columns. Piece k of a text is its k-th by ``start``.
+    is) and piece. Null, empty and short texts give no row, repeated rows repeat. A column of
+    the input with one of these names gets in_ before it. Piece k of a text is its k-th by
+    ``start``.
     """
-    taken = {"start", "end", "hard", "piece"} & set(df.columns)
-    if taken:
-        raise ValueError(f"the input has columns {sorted(taken)}")
+    new = ["start", "end", "hard", "piece"]
+    if text in new:
+        df, text = df.withColumnRenamed(text, f"in_{text}"), f"in_{text}"
+    df = clear_of(df, new)
     rest = [c for c in df.columns if c != text]
     rows = df.where(F.char_length(F.col(f"`{text}`")) > limit).select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
     schema = T.StructType([f for f in rows.schema.fields if f.name != text] + T._parse_datatype_string(PIECES).fields)
@@ -246,7 +252,7 @@ def split_files(spark: SparkSession, paths: list[str], limit: int = LIMIT, overl
                 a, z = ahead, ahead + own
                 start = edge(pos, a, limit) if lo else 0
                 end = edge(pos, z, limit) if hi < r.bytes else z
-                p = cut_range(pos, kind, start, end, limit, overlap)
+                p = cut_range(pos, kind, start, end, limit, overlap, hi < r.bytes and end not in pos)
                 base = r.first - ahead
                 yield pd.DataFrame({"path": r.path, "start": [base + s for s, _, _ in p], "end": [base + e for _, e, _ in p], "hard": [h for *_, h in p], "piece": [x[s:e] for s, e, _ in p]})
 

@@ -95,16 +95,26 @@ def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([*b.columns, got.cast(pa.string())], names=[*b.schema.names, "form"])
 
 
+def clear_of(df: DataFrame, new: list[str]) -> DataFrame:
+    """``df`` with columns of the names in ``new`` renamed: in_ before them, again if taken."""
+    for name in new:
+        if name in df.columns:
+            free = f"in_{name}"
+            while free in df.columns:
+                free = f"in_{free}"
+            df = df.withColumnRenamed(name, free)
+    return df
+
+
 def canonical_text(df: DataFrame, text: str) -> DataFrame:
     """``df`` with a column ``form``: ``text`` in its one consistent form.
 
     Null stays null; a text of invisible characters and spaces becomes empty. Full-width and
     ordinary forms, ligatures, compatibility ideographs, kinds of spaces and hyphens, and
     look-alike letters fall together; case, accents, raised or circled digits, and the
-    difference of hyphen and space stay. Raises if ``df`` has a column ``form`` already.
+    difference of hyphen and space stay. A column ``form`` of the input becomes ``in_form``.
     """
-    if "form" in df.columns:
-        raise ValueError("the input has a column 'form'")
+    df = clear_of(df, ["form"])
     rest = [c for c in df.columns if c != text]
     moved = df.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
     schema = T.StructType([*moved.schema.fields, T.StructField("form", T.StringType())])
