@@ -77,4 +77,4 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     name = F.lower(F.col("path"))
     kind = F.when(name.rlike(r"\.(txt|md|markdown)$"), "text").when(name.endswith(".pdf"), "pdf").when(name.rlike(r"\.(png|jpe?g)$"), "image").otherwise("other")
-    return raw.select("path", kind.alias("kind"), "length", F.when(kind == "text", F.decode("content", F.lit("UTF-8"))).alias("text"))
+    return raw.select("path", kind.alias("kind"), "length", F.when(kind == "text", F.decode("content", "UTF-8")).alias("text"))
