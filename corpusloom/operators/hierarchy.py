@@ -33,16 +33,28 @@ from pyspark.sql import functions as F
 from corpusloom.plans.lineage import cut
 
 
-def local_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Weighted disjoint sets over the links of one partition.
+#: Links that are held at once; a larger partition is worked through in such blocks.
+LOCAL_LINKS = 1_000_000
+
+
+def local_sets(batches: Iterator[pd.DataFrame], block: int = LOCAL_LINKS) -> Iterator[pd.DataFrame]:
+    """Weighted disjoint sets over the links of one partition, ``block`` links at a time.
 
     Input rows: node, parent (None at a root). Output rows: node, anc, off, closed, where
     ``closed`` tells that ``anc`` is the root itself; otherwise ``anc`` is the first ancestor
-    that is no node of this partition. On a cycle inside the partition it is the parent.
+    that is no node of this block. On a cycle inside the block it is the parent.
     """
     parent: dict[str, str | None] = {}
     for pdf in batches:
         parent.update(zip(pdf["node"], pdf["parent"].where(pdf["parent"].notna(), None)))
+        if len(parent) >= block:
+            yield _united(parent)
+            parent = {}
+    if parent:
+        yield _united(parent)
+
+
+def _united(parent: dict[str, str | None]) -> pd.DataFrame:
     top: dict[str, tuple[str, int, bool]] = {}
     for start in parent:
         chain: list[str] = []
@@ -64,10 +76,9 @@ def local_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for y in reversed(chain):
             off += 1
             top[y] = (anc, off, closed)
-    if top:
-        nodes = list(top)
-        a, o, c = zip(*(top[n] for n in nodes))
-        yield pd.DataFrame({"node": nodes, "anc": a, "off": o, "closed": c})
+    nodes = list(top)
+    a, o, c = zip(*(top[n] for n in nodes))
+    return pd.DataFrame({"node": nodes, "anc": a, "off": o, "closed": c})
 
 
 def parent_table(links: DataFrame, parent: str, child: str) -> DataFrame:

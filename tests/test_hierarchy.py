@@ -62,3 +62,11 @@ def test_local_sets_keep_weights():
     pdf = pd.DataFrame({"node": ["a", "b", "c", "x"], "parent": [None, "a", "b", "outside"]})
     got = {t.node: (t.anc, t.off, t.closed) for t in next(local_sets(iter([pdf]))).itertuples()}
     assert got == {"a": ("a", 0, True), "b": ("a", 1, True), "c": ("a", 2, True), "x": ("outside", 1, False)}
+
+
+def test_small_blocks_change_nothing():
+    import pandas as pd
+
+    chain = pd.DataFrame({"node": [f"n{i}" for i in range(10)], "parent": [None, *[f"n{i}" for i in range(9)]]})
+    got = pd.concat(local_sets(iter([chain[:4], chain[4:7], chain[7:]]), block=3)).set_index("node")
+    assert got.loc["n3"].tolist() == ["n0", 3, True] and got.loc["n6"].tolist() == ["n3", 3, False] and got.loc["n9"].tolist() == ["n6", 3, False]
