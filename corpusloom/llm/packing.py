@@ -25,6 +25,8 @@ CAPACITY, OPEN = 2048, 64
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the split pattern the public byte-level vocabularies were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The number of a partition's container of empty items.
+EMPTY = (1 << 31) - 1
 #: Partitions whose leftovers one task merges in a round.
 FAN_IN = 64
 
@@ -57,7 +59,7 @@ class Windows:
             if len(self.free) == self.limit:
                 closed = self.free.pop(0)[1]
             room, c, self.made = self.capacity, self.made, self.made + 1
-        if room > size or not size:
+        if room > size:
             insort(self.free, (room - size, c))
         return c, closed
 
@@ -76,6 +78,9 @@ def pack_batches(capacity: int, limit: int, size_of: Callable[[str], int] | None
             sizes = [size_of(x) if x else 0 for x in sizes]
         done: list[tuple] = []
         for k, n in zip(keys, sizes):
+            if not n:  # empty items share a container of their own, and none is held
+                done.append((k, 0, 0, 0, base + EMPTY, False))
+                continue
             at, part = 0, 0
             while n - at > capacity:
                 done.append((k, part, at, capacity, base + w.made, False))
@@ -106,8 +111,8 @@ def pack(items: DataFrame, key: str, text: str, capacity: int = CAPACITY, open_w
     """Assign every item to containers of ``capacity`` tokens.
 
     Returns key, part (0 but for divided items), token_start, tokens and container_id. A
-    null or empty text has no tokens and still gets a container; rows repeat as they come,
-    null keys included. An empty table gives an empty result; other columns are ignored.
+    null or empty text has no tokens and goes to a partition's container of such items;
+    rows repeat as they come, null keys included. An empty table gives an empty result; other columns are ignored.
     """
     rows = items.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
