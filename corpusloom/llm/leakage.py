@@ -7,9 +7,10 @@ every position, documents only at every ``step``-th: with span + step - 1 <= the
 overlap, each such overlap holds at least one hashed window of the document. Test and training hashes
 are joined, and around each hit the overlap is extended both ways, over substitutions too.
 
-The hit carries the characters around its window, as many as the verification needs, so no
-document is fetched again. Hashes of documents that no item has are dropped in the scan
-while the items' hashes fit a checked bound; beyond it all hashes go through a shuffle join.
+Hashes of documents that no item has are dropped in the scan while the items' hashes fit a
+checked bound; what is left carries the characters around its window, as many as the
+verification needs, so no document is fetched again. Beyond the bound all hashes go through
+a shuffle join without texts, and only hits fetch theirs.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chosen_path import bare_form
@@ -130,18 +131,33 @@ def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
         raise ValueError(f"the shortest overlap must be {span} or more")
     dk, ik = (d.schema[k].dataType.simpleString() for d, k in ((docs, doc_key), (items, item_key)))
     side = "h bigint, at bigint, off bigint, context string"
-    item = items.where(F.col(item_key).isNotNull()).select(F.col(item_key), bare_form(F.col(text)).alias("bare"))
-    ih = cut(item.mapInArrow(lambda it: hash_batches(1, around, None, it), f"key {ik}, {side}"))
+    item = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), bare_form(F.col(text)).alias("bare")).where("bare <> ''").distinct()
+    item = cut(item.withColumn("row", F.xxhash64("item", "bare")))
+    ih = cut(item.select("row", "bare").mapInArrow(lambda it: hash_batches(1, 0, None, it), f"key bigint, {side}").select(F.col("key").alias("row"), "h", (F.col("off") + F.col("at")).alias("place")))
     n = ih.count()
     held = None
     if 0 < n <= held_hashes:  # the bound is checked: 8 bytes for each hash of the items
         held = np.unique(np.array(ih.select("h").distinct().toPandas()["h"], dtype=np.int64))
-    shared = docs.sparkSession.sparkContext.broadcast(held)
-    doc = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key), bare_form(F.col(text)).alias("bare"))
-    dh = doc.mapInArrow(lambda it: hash_batches(step, around, shared.value, it), f"key {dk}, {side}")
-    ih = ih.select(F.col("key").alias("item"), "h", F.col("at").alias("item_at"), F.col("off").alias("item_off"), F.col("context").alias("item_context"))
-    hits = dh.join(ih, "h")
+    doc = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("key"), bare_form(F.col(text)).alias("bare"))
+
+    def around_of(bare: str, place: str) -> tuple[Column, Column]:
+        """A window's place in its surroundings, and these."""
+        first = F.greatest(F.lit(0), F.col(place) - around)
+        return F.col(place) - first, F.substring(F.col(bare), (first + 1).cast("int"), F.lit(2 * around + span))
+
+    # hashes meet without texts; then a hit takes the characters around its windows
+    item_at, item_context = around_of("item_bare", "place")
+    items_of = item.withColumnRenamed("bare", "item_bare")
+    if held is not None:
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+        dh = doc.mapInArrow(lambda it: hash_batches(step, around, shared.value, it), f"key {dk}, {side}")
+        hits = dh.join(ih, "h").join(items_of, "row").select("key", "item", "at", "context", item_at.alias("item_at"), item_context.alias("item_context"))
+    else:
+        doc = doc.where("bare <> ''").withColumn("doc_row", F.xxhash64("key", "bare"))
+        dh = doc.select("doc_row", "bare").mapInArrow(lambda it: hash_batches(step, 0, None, it), f"doc_row bigint, {side}").select("doc_row", "h", (F.col("off") + F.col("at")).alias("doc_place"))
+        at, context = around_of("bare", "doc_place")
+        hits = dh.join(ih, "h").join(items_of, "row").join(doc, "doc_row").select("key", "item", at.alias("at"), context.alias("context"), item_at.alias("item_at"), item_context.alias("item_context"))
     # a batch of hits leaves as two numbers each, so maxima are combined before the shuffle
-    looked = hits.select("key", "item", "at", "context", "item_at", "item_context").mapInArrow(lambda it: verify_batches(substitutions, it), f"key {dk}, item {ik}, exact bigint, tolerant bigint")
+    looked = hits.mapInArrow(lambda it: verify_batches(substitutions, it), f"key {dk}, item {ik}, exact bigint, tolerant bigint")
     found = looked.where(F.col("tolerant") >= shortest).groupBy("key", "item").agg(F.max("exact").alias("exact_run"), F.max("tolerant").alias("overlap"))
     return found.select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "exact_run", "overlap")
