@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.catalog import graph, learning, linking, retrieval, store, streams
+from corpusloom.catalog import evidence, graph, learning, linking, retrieval, store, streams
 from corpusloom.operators import hierarchy
 from corpusloom.sources.tables import table
 
@@ -18,7 +18,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return full.select("node_id", "root_id", "depth", "path", "n_descendants")
 
 
-AREAS = (retrieval, graph, learning, linking, store, streams)
+AREAS = (evidence, retrieval, graph, learning, linking, store, streams)
 
 QUERIES: dict[str, Query] = {"p5_found": p5_found}
 
