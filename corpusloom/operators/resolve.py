@@ -75,22 +75,24 @@ def profiles(mentions: DataFrame, native: bool = False) -> DataFrame:
 def candidate_pairs(p: DataFrame) -> DataFrame:
     """Unordered pairs (l, r), l < r in norm, that an alias, a base or containment joins.
 
-    A contained name, or base, begins with a gram of four characters (or of its whole length) that
-    stands in the containing one: the join on that gram finds every containment, and a test
-    of the pair keeps only those.
+    Every gram of four characters of a contained name or base (or all of a shorter one)
+    stands in the containing one, so a join on its rarest gram finds every containment, and
+    a test of the pair keeps only those. Frequent grams make no pairs.
     """
     n = p.select("norm", weak_base(F.col("norm")).alias("base"), "alias_norms")
     alias = n.select(F.col("norm").alias("l"), F.explode("alias_norms").alias("r")).join(n.select(F.col("norm").alias("r")), "r", "left_semi")
     equal = n.join(n.select(F.col("norm").alias("r"), "base"), "base").select(F.col("norm").alias("l"), "r")
     forms = n.select("norm", F.explode(F.array_distinct(F.array("norm", "base"))).alias("form"))
-    heads = forms.select(F.col("norm").alias("r"), F.col("form").alias("short"), F.substring("form", 1, 4).alias("gram"))
 
     def cut(k: int) -> Column:
         every = F.transform(F.sequence(F.lit(1), F.length("form") - (k - 1)), lambda i: F.substring("form", i, F.lit(k)))
         return F.when(F.length("form") >= k, every).otherwise(F.array().cast("array<string>"))
 
-    grams = F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(1, 5)])))
-    inside = forms.select(F.col("norm").alias("l"), "form", F.explode(grams).alias("gram")).join(heads, "gram").where((F.length("short") <= F.length("form")) & F.col("form").contains(F.col("short")))
+    index = forms.select("norm", "form", F.explode(F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(1, 5)])))).alias("gram"))
+    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    own = forms.select("norm", "form", F.explode(F.when(F.length("form") < 4, F.array("form")).otherwise(F.array_distinct(cut(4)))).alias("gram"))
+    heads = own.join(common, "gram").groupBy(F.col("norm").alias("r"), F.col("form").alias("short")).agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
+    inside = index.withColumnRenamed("norm", "l").join(heads, "gram").where((F.length("short") <= F.length("form")) & F.col("form").contains(F.col("short")))
     every = alias.select("l", "r").unionByName(equal).unionByName(inside.select("l", "r")).where("l <> r")
     return every.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
 

@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
-from corpusloom.plans.sizes import small
+from corpusloom.plans.sizes import is_small, small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -35,7 +35,10 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", qu
     idf = df.crossJoin(F.broadcast(whole)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = small(term_counts(queries, query_key, text).withColumnRenamed("tf", "times").join(idf, "term"))
+    terms = term_counts(queries, query_key, text).withColumnRenamed("tf", "times")
+    few = is_small(terms)  # one idf a term, so what follows has no more rows
+    asked = (F.broadcast(terms) if few else terms).join(idf, "term")
+    asked = F.broadcast(asked) if few else asked
     size = length.crossJoin(F.broadcast(whole)).select(doc_key, (1 - B + B * F.col("len") / F.col("mean_len")).alias("size"))
     hit = tf.join(asked, "term").join(size, doc_key)
     gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * F.col("size"))

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged.
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
+    """Whether ``df`` has at most ``rows`` rows; reads one more at most."""
+    return df.limit(rows + 1).count() <= rows
+
 
-    The count reads ``rows`` + 1 rows at most.
-    """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, else unchanged."""
+    return F.broadcast(df) if is_small(df, rows) else df
