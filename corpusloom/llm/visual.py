@@ -78,7 +78,9 @@ def _sql() -> str:
     e = f"regexp_replace(t, '{gone}', '', 'g')"
     for lig, letters in many.items():
         e = f"replace({e}, '{lig}', '{q(letters)}')"
-    return f"select trim(nfc_normalize(translate({e}, '{q(a)}', '{q(b)}'))) as form from batch"
+    # texts of plain letters and ordinary ideographs, the most, have nothing to map
+    plain = r"[ -~À-ÖØ-öø-ÿ\x{4E00}-\x{9FFF}]*"
+    return f"select trim(case when regexp_full_match(t, '{plain}') then t else nfc_normalize(translate({e}, '{q(a)}', '{q(b)}')) end) as form from batch"
 
 
 def canonical_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
