@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
+from corpusloom.plans.lineage import cut
 from corpusloom.plans.sizes import is_small, small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
@@ -24,25 +25,26 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, doc_key: str = "doc_id", qu
     """(query, doc, score) of BM25 Okapi for all pairs that share a term.
 
     k1 = 1.5, b = 0.75; a negative idf becomes a quarter of the mean idf, as the Okapi
-    variant has it. A repeated query term counts each time. Statistics cover all documents;
-    the term index is joined on terms, so documents without a query term never meet a query.
+    variant has it. A repeated query term counts each time. Statistics cover all documents.
+    Document frequencies are combined map-side from each document's distinct terms, and only
+    occurrences of query terms are counted by document, so the whole index is never shuffled.
     Null and empty texts have no terms and only count as documents of length 0.
     """
-    tf = term_counts(docs, doc_key, text)
-    length = docs.select(doc_key, F.coalesce(F.size(T.tokens(F.col(text))), F.lit(0)).alias("len"))
-    whole = length.agg(F.count(F.lit(1)).alias("n"), F.avg(F.greatest("len", F.lit(0))).alias("mean_len"))
-    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = df.crossJoin(F.broadcast(whole)).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    toks = docs.select(F.col(doc_key), F.coalesce(T.tokens(F.col(text)), F.array().cast("array<string>")).alias("toks"))
+    whole = toks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("toks")).alias("mean_len"))
+    # the vocabulary is kept, as its mean idf and the query terms would both scan all documents for it
+    df = cut(toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+    idf = df.crossJoin(F.broadcast(whole.select("n"))).select("term", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
     idf = idf.crossJoin(F.broadcast(mean)).select("term", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
     terms = term_counts(queries, query_key, text).withColumnRenamed("tf", "times")
     few = is_small(terms)  # one idf a term, so what follows has no more rows
     asked = (F.broadcast(terms) if few else terms).join(idf, "term")
-    asked = F.broadcast(asked) if few else asked
-    size = length.crossJoin(F.broadcast(whole)).select(doc_key, (1 - B + B * F.col("len") / F.col("mean_len")).alias("size"))
-    hit = tf.join(asked, "term").join(size, doc_key)
-    gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * F.col("size"))
-    return hit.groupBy(query_key, doc_key).agg(F.sum(gain).alias("score"))
+    words = toks.select(doc_key, F.size("toks").alias("len"), F.explode("toks").alias("term"))
+    hit = words.join(F.broadcast(asked) if few else asked, "term").groupBy(query_key, doc_key, "term", "times", "idf", "len").agg(F.count(F.lit(1)).alias("tf"))
+    size = 1 - B + B * F.col("len") / F.col("mean_len")
+    gain = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * size)
+    return hit.crossJoin(F.broadcast(whole.select("mean_len"))).groupBy(query_key, doc_key).agg(F.sum(gain).alias("score"))
 
 
 def ranked(scores: DataFrame, query: str, key: str, k: int, score: str = "score", best_first: bool = True) -> DataFrame:
