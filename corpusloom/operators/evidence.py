@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,32 +83,109 @@ def keyword_votes(docs: DataFrame, keywords: DataFrame, key: str, text: str) ->
     return v.groupBy(key).agg(F.min_by("topic", F.struct(-F.col("n"), "topic")).alias("topic"), F.max("n").alias("votes"))
 
 
-def near_titles(rows: DataFrame, key: str, kind: str, title: str, least: float = 0.78, most: int = 3) -> DataFrame:
+def common_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """No fewer than the characters (with repeats) two titles share; rows of code points, -1 behind."""
+    counts = []
+    for c in (a, b):
+        n = np.zeros((len(c), 128), dtype=np.int64)
+        rows, places = np.nonzero(c >= 0)
+        np.add.at(n, (rows, c[rows, places] % 128), 1)
+        counts.append(n)
+    # the smaller of two counts is the number of levels both reach; what is over 8 is bounded as a whole
+    levels = [np.concatenate([n >= k for k in range(1, 9)], axis=1) for n in counts]
+    used = levels[0].any(axis=0) & levels[1].any(axis=0)
+    over = [np.maximum(n - 8, 0).sum(axis=1) for n in counts]
+    x, y = (level[:, used].astype(np.float32) for level in levels)
+    return (x @ y.T).astype(np.int64) + np.minimum(over[0][:, None], over[1][None, :])
+
+
+def longest_common(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Length of the longest common subsequence of a[i] and b[j], bit-parallel; a has up to 64 columns."""
+    known = np.unique(a)
+    masks = np.zeros((len(a), len(known) + 1), dtype=np.uint64)
+    for k in range(a.shape[1]):
+        rows = np.nonzero(a[:, k] >= 0)[0]
+        masks[rows, np.searchsorted(known, a[rows, k])] |= np.uint64(1 << k)
+    at = np.minimum(np.searchsorted(known, b), len(known) - 1)
+    at = np.where((known[at] == b) & (b >= 0), at, len(known))
+    v = np.full(len(i), np.uint64(2**64 - 1))
+    for k in range(b.shape[1]):
+        u = v & masks[i, at[j, k]]
+        v = (v + u) | (v - u)
+    return np.bitwise_count(~v).astype(np.int64)
+
+
+def near_in_cell(least: float, cell: pa.Table) -> pa.Table:
+    """(k, t, side) of a cell to (k, o, ratio), both ways, of titles of the two sides (or the only one).
+
+    The matching blocks of a pair are a common subsequence, so neither the characters it shares
+    nor its longest common subsequence can be below the ratio's share of both lengths.
+    """
+    keys, texts, side = cell.column("k").combine_chunks(), cell.column("t").to_pylist(), cell.column("side").to_numpy()
+    ours, theirs = np.nonzero(side != 1)[0], np.nonzero(side != 0)[0]
+    codes = [np.frombuffer(x.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64) for x in texts]
+    size = np.array([len(c) for c in codes], dtype=np.int64)
+    left, right, ratios = [], [], []
+    if len(ours) and len(theirs):
+        rows = []
+        for part in (ours, theirs):
+            c = np.full((len(part), size[part].max()), -1, dtype=np.int64)
+            for n, x in enumerate(part):
+                c[n, : size[x]] = codes[x]
+            rows.append(c)
+        need = (least - 5e-7) * (size[ours][:, None] + size[theirs][None, :]) / 2
+        i, j = np.nonzero(common_bound(*rows) >= need)
+        keep = (side[ours[i]] != 2) | (ours[i] < theirs[j])
+        i, j = i[keep], j[keep]
+        short = np.nonzero(size[ours[i]] <= 64)[0]
+        if len(short):
+            good = np.ones(len(i), dtype=bool)
+            good[short] = longest_common(rows[0][:, :64], rows[1], i[short], j[short]) >= need[i[short], j[short]]
+            i, j = i[good], j[good]
+        for x, y in zip(ours[i].tolist(), theirs[j].tolist()):
+            for p, q in ((x, y), (y, x)):
+                r = round(SequenceMatcher(None, texts[p], texts[q], autojunk=False).ratio(), 6)
+                if r >= least:
+                    left.append(p)
+                    right.append(q)
+                    ratios.append(r)
+    return pa.table({"k": keys.take(pa.array(left, pa.int64())), "o": keys.take(pa.array(right, pa.int64())), "ratio": pa.array(ratios, pa.float64())})
+
+
+def near_titles(rows: DataFrame, key: str, kind: str, title: str, least: float = 0.78, most: int = 3, block: int = 1000) -> DataFrame:
     """(key, other, ratio): up to ``most`` rows of the same kind with the most similar titles.
 
-    The ratio is the matching-blocks one. Titles meet if they share half of the longer one's
-    words or more: such a pair shares one of the rarest half of either, so the join is on
-    those only, and frequent words never make pairs.
+    The ratio is the matching-blocks one, from the row's title to the other's; of several titles
+    of a key the best counts. No pair is left out before it but by bounds that follow from the
+    ratio: lengths (pairs are taken from the same or neighbouring classes of length only), then
+    shared characters and longest common subsequences (``near_in_cell``). So the work grows with
+    the square of a kind's titles of like length; blocks of about ``block`` titles meet in cells
+    that are spread over the tasks. Null and empty titles and null kinds or keys have no row.
     """
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([SequenceMatcher(None, x, y, autojunk=False).ratio() for x, y in zip(a, b)])
-
-    t = rows.where(F.col(title).isNotNull()).select(F.col(key).alias("k"), F.col(kind).alias("kind"), F.lower(F.trim(title)).alias("t")).distinct()
-    words = t.select("k", "kind", F.array_distinct(T.tokens(F.col("t"))).alias("ws"))
-    w = words.select("k", "kind", F.size("ws").alias("n"), F.explode("ws").alias("w"))
-    df = w.groupBy("kind", "w").agg(F.count(F.lit(1)).alias("df"))
-    rare = F.row_number().over(Window.partitionBy("k", "kind").orderBy("df", "w"))
-    w = w.join(df, ["kind", "w"]).withColumn("i", rare).where(F.col("i") <= F.col("n") - F.ceil(F.col("n") / 2) + 1)
-    met = w.select("k", "kind", "w").join(w.select(F.col("k").alias("o"), "kind", "w"), ["kind", "w"]).where("k < o").select("k", "o", "kind").distinct()
-    met = met.join(words, ["k", "kind"]).join(words.select(F.col("k").alias("o"), "kind", F.col("ws").alias("wo")), ["o", "kind"])
-    pairs = met.where(2 * F.size(F.array_intersect("ws", "wo")) >= F.greatest(F.size("ws"), F.size("wo"))).select("k", "o").distinct()
-    x = pairs.join(t.select("k", F.col("t").alias("a")), "k").join(t.select(F.col("k").alias("o"), F.col("t").alias("b")), "o")
-    near = x.withColumn("ratio", F.round(ratio("a", "b"), 6)).where(F.col("ratio") >= least)
-    both = near.select("k", "o", "ratio").unionByName(near.select(F.col("o").alias("k"), F.col("k").alias("o"), "ratio"))
+    kt = rows.schema[key].dataType.simpleString()
+    t = rows.select(F.col(key).alias("k"), F.col(kind).alias("kind"), F.lower(F.trim(title)).alias("t")).where("k is not null and kind is not null and t <> ''").distinct()
+    # the shorter of a pair has at least least / (2 - least) of the longer one's length
+    apart = math.log((2 - least) / least) + 1e-5
+    t = t.withColumn("b", F.floor(F.log(F.length("t").cast("double")) / apart).cast("int"))
+    sizes = t.groupBy("kind", "b").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("n"))
+    t = t.join(sizes.groupBy("kind").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("blocks")), "kind")
+    blocks_of = lambda b: F.coalesce(F.try_element_at("blocks", b), F.lit(0))
+    t = t.withColumn("i", F.pmod(F.xxhash64("k", "t"), blocks_of(F.col("b"))).cast("int"))
+    b, i = F.col("b"), F.col("i")
+
+    def cells(other: Column, cell: Callable[[Column], Column]) -> Column:
+        n = blocks_of(other)
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), cell)).otherwise(F.array().cast("array<struct<lb:int,li:int,hb:int,hi:int,side:int>>"))
+
+    place = lambda lb, li, hb, hi, side: F.struct(lb.alias("lb"), li.alias("li"), hb.alias("hb"), hi.alias("hi"), side.alias("side"))
+    same = cells(b, lambda j: place(b, F.least(i, j), b, F.greatest(i, j), F.when(i == j, 2).when(i < j, 0).otherwise(1)))
+    longer = cells(b + 1, lambda j: place(b, i, b + 1, j, F.lit(0)))
+    shorter = cells(b - 1, lambda j: place(b - 1, j, b, i, F.lit(1)))
+    met = t.select("kind", "k", "t", F.explode(F.concat(same, longer, shorter)).alias("c")).select("kind", "k", "t", "c.*")
+    near = met.groupBy("kind", "lb", "li", "hb", "hi").applyInArrow(lambda cell: near_in_cell(least, cell), f"k {kt}, o {kt}, ratio double")
+    best = near.where("k <> o").groupBy("k", "o").agg(F.max("ratio").alias("ratio"))
     nth = F.row_number().over(Window.partitionBy("k").orderBy(F.col("ratio").desc(), "o"))
-    return both.withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("k").alias(key), F.col("o").alias("other"), "ratio")
+    return best.withColumn("nth", nth).where(F.col("nth") <= most).select(F.col("k").alias(key), F.col("o").alias("other"), "ratio")
 
 
 def natural_paths(gaps: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+from difflib import SequenceMatcher
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import evidence as V
@@ -33,6 +36,31 @@ def test_votes_and_titles(spark):
     assert {(r.k, r.other) for r in V.near_titles(t, "k", "kind", "t").collect()} == {("a", "b"), ("b", "a")}
 
 
+def test_near_titles_equal_brute_force(spark):
+    r = random.Random(5)
+    made = ["weak hollow turbine schedule", "wеаk hоllоw turbinе schеdulе", "tokenizer", "tokeniser", "tok\u200benizer", "a", "a", "", "  ", "colour of flavour", "color of flavor", "图神经网络模型", "图神经网路模型", "ab" * 90, "ab" * 70 + "c"]
+    for _ in range(120):
+        x = "".join(r.choice("abcde ") for _ in range(r.randrange(3, 90)))
+        y = list(x)
+        for _ in range(r.randrange(0, len(x) // 3 + 1)):
+            y[r.randrange(len(y))] = r.choice(["", "x", "yz"])
+        made += [x, "".join(y)]
+    rows = [(n, "k" if n % 7 else "j", x) for n, x in enumerate(made)] + [(900, "k", None), (901, None, "a"), (0, "k", "weak hollow")]
+    clean = [(k, kind, x.strip(" ").lower()) for k, kind, x in rows if x and kind and x.strip(" ")]
+    want = {}
+    for k, kind, x in clean:
+        for o, other, y in clean:
+            if k != o and kind == other and (s := round(SequenceMatcher(None, x, y, autojunk=False).ratio(), 6)) >= 0.78:
+                want[k, o] = max(s, want.get((k, o), 0))
+    df = spark.createDataFrame(rows, "k bigint, kind string, t string")
+    for block in (1000, 20):
+        got = {(x.k, x.other): x.ratio for x in V.near_titles(df, "k", "kind", "t", most=1000, block=block).collect()}
+        assert got == want
+    assert len(want) > 50
+    top = {(x.k, x.other) for x in V.near_titles(df, "k", "kind", "t").collect()}
+    assert top == {p for p in want if sum(a == p[0] and (-s, o) < (-want[p], p[1]) for (a, o), s in want.items()) < 3}
+
+
 def test_natural_paths(spark):
     g = spark.createDataFrame([("d", "a", ["law"]), ("d", "e", ["law", "application"]), ("x", "a", ["law"])], "src string, dst string, missing array<string>")
     e = spark.createDataFrame([("d", "l"), ("l", "a"), ("d", "a"), ("x", "o"), ("o", "a")], "src string, dst string")
