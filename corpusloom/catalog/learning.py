@@ -119,26 +119,38 @@ def _mentions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_profiles(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL states it: without NFKC. ``name_profiles_nfkc`` has it."""
     p = E.profiles(_mentions(spark, d), native=True)
     return p.select("norm", "name", "frequency", F.array_join("alias_norms", "|").alias("alias_norms"))
 
 
+def name_profiles_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    p = E.profiles(_mentions(spark, d))
+    return p.select("norm", "name", "frequency", F.array_join("alias_norms", "|").alias("alias_norms"))
+
+
 def surface_modes(spark: SparkSession, d: str) -> DataFrame:
     """The most frequent spelling of every merge name."""
     m = table(spark, d, "merge_candidates").select(F.explode(F.array("left_name", "right_name")).alias("name")).withColumn("aliases", F.array().cast("array<string>"))
-    return E.profiles(m, native=True).select("norm", "name", "frequency")
+    return E.profiles(m).select("norm", "name", "frequency")
 
 
 def pair_classify(spark: SparkSession, d: str) -> DataFrame:
+    """As its SQL states it: without NFKC. ``pair_classify_nfkc`` has it."""
     p = E.profiles(_mentions(spark, d), native=True)
     return E.classify(E.candidate_pairs(p), p)
 
 
+def pair_classify_nfkc(spark: SparkSession, d: str) -> DataFrame:
+    p = E.profiles(_mentions(spark, d))
+    return E.classify(E.candidate_pairs(p), p)
+
+
 def canonical_build(spark: SparkSession, d: str) -> DataFrame:
     m = _mentions(spark, d)
-    p = E.profiles(m, native=True)
+    p = E.profiles(m)
     names = E.canonical_names(E.classify(E.candidate_pairs(p), p), p)
-    full = m.withColumn("norm", E.ascii_name(F.col("name"))).join(p.select("norm", F.col("name").alias("best")), "norm").drop("name").withColumnRenamed("best", "name")
+    full = m.withColumn("norm", E.normalized_name(F.col("name"))).join(p.select("norm", F.col("name").alias("best")), "norm").drop("name").withColumnRenamed("best", "name")
     return E.canonical_concepts(full, names).withColumn("source_chunks", F.array_join("source_chunks", "|"))
 
 
@@ -156,7 +168,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         irt_probability, rasch_calibrate, twopl_calibrate, theta_fold, streaks, mastery_state, state_propagated, profile_buckets, progress_trend, wrong_answer_book, recommendations, bloom_radar,
-        quizbank_stats, score_rates, score_objective, score_fill_blank, difficulty_heuristic, name_profiles, surface_modes, pair_classify, canonical_build, name_map, advice_conflicts,
+        quizbank_stats, score_rates, score_objective, score_fill_blank, difficulty_heuristic, name_profiles, name_profiles_nfkc, surface_modes, pair_classify, pair_classify_nfkc, canonical_build, name_map, advice_conflicts,
     )
 }
 

@@ -1,8 +1,10 @@
 import datetime as dt
 import math
+import unicodedata
 
 from pyspark.sql import functions as F
 
+from corpusloom.catalog import learning as CL
 from corpusloom.functions import irt, scoring
 from corpusloom.operators import learning as L
 from corpusloom.operators import resolve as E
@@ -96,3 +98,16 @@ def test_advice_conflicts(spark):
     a = spark.createDataFrame([("x", "y", "MERGE"), ("y", "z", "MERGE"), ("x", "z", "SEPARATE"), ("x", "w", "SEPARATE")], "left string, right string, decision string")
     got = E.advice_conflicts(a).collect()
     assert [(r.left, r.right) for r in got] == [("x", "z")] and len(got[0].group_id) == 64
+
+
+def test_names_alike_under_nfkc_fall_together(spark, tmp_path):
+    names = ["Full width file", "Ｆｕｌｌ ｗｉｄｔｈ file", "full\u00a0width\u2009ﬁle", "Straße", "STRASSE", "other"]
+    rows = [(n, ["ＦＷＦ"] if i == 0 else None, "fact", "d", "h", [f"s{i}"]) for i, n in enumerate(names)] + [("fwf", [], "fact", "", "", ["s9"])]
+    spark.createDataFrame(rows, "name string, aliases array<string>, concept_type string, description string, parent_hint string, source_chunks array<string>").write.parquet(f"{tmp_path}/canonical_concepts.parquet")
+    spark.createDataFrame([(names[0], names[1]), (names[2], "other")], "left_name string, right_name string").write.parquet(f"{tmp_path}/merge_candidates.parquet")
+    brute = lambda v: E._DROP.sub("", unicodedata.normalize("NFKC", v).casefold().strip())
+    got = {r.norm: (r.frequency, r.alias_norms) for r in CL.name_profiles_nfkc(spark, str(tmp_path)).collect()}
+    assert got == {brute("full width file"): (3, "fwf"), "strasse": (2, ""), "other": (1, ""), "fwf": (1, "")}
+    assert {(r.norm, r.frequency) for r in CL.surface_modes(spark, str(tmp_path)).collect()} == {("fullwidthfile", 3), ("other", 1)}
+    assert {r.relation for r in CL.pair_classify_nfkc(spark, str(tmp_path)).collect()} == {"SAME_AS"}
+    assert sorted(r.n_mentions for r in CL.canonical_build(spark, str(tmp_path)).collect()) == [1, 2, 4]
