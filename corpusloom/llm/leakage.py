@@ -2,10 +2,10 @@
 
 Both sides are brought to their bare form (lower case, letters and digits only). A spaced
 seed is a mask over a window of positions: the characters at its ones are hashed, those at
-its zeros ignored, so a substitution there leaves the hash as it is. Items are hashed at
-every position, documents only at every ``step``-th: with span + step - 1 <= the shortest
-overlap, each such overlap holds at least one hashed window of the document. Test and training hashes
-are joined, and around each hit the overlap is extended both ways, over substitutions too.
+its zeros ignored, so a substitution there leaves the hash as it is. Both sides are hashed at
+every position: in an overlap of 50 characters, wherever one or two of them are substituted,
+some window has them outside or at zeros of its mask (with three, all but 117 of 19,600
+placements). Test and training hashes are joined, and around each hit the overlap is extended both ways, over substitutions too.
 
 Hashes of documents that no item has are dropped in the scan while the items' hashes fit a
 checked bound; what is left carries the characters around its window, as many as the
@@ -30,54 +30,92 @@ SHORTEST = 50
 MASKS = ("111011010111001011011010110111", "110110111010011101100111011011")
 #: Hashes of items (8 bytes each) that workers may hold to drop other hashes in the scan.
 HELD_HASHES = 4_000_000
+#: Characters hashed at once, so that what is made on the way stays small.
+HASHED_AT_ONCE = 100_000
 
 
 def codes_of(bare: str) -> np.ndarray:
     return np.frombuffer(bare.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def seed_hashes(codes: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(position, mask number, hash) of the windows at every ``step``-th position."""
+def seed_hashes(codes: np.ndarray) -> np.ndarray:
+    """The hashes of the windows at every position, one row for each mask."""
     span = len(MASKS[0])
-    if len(codes) < span:
-        return (np.empty(0, dtype=np.int64),) * 3
-    windows = np.lib.stride_tricks.sliding_window_view(codes.astype(np.uint64), span)[::step]
-    at = np.arange(0, len(codes) - span + 1, step, dtype=np.int64)
+    m = len(codes) - span + 1
+    if m < 1:
+        return np.empty((len(MASKS), 0), dtype=np.int64)
+    codes = codes.astype(np.uint64)
     r = np.random.default_rng(7).integers(1, 2**63, span, dtype=np.uint64) | np.uint64(1)
-    hashes = []
-    for k, mask in enumerate(MASKS):
-        on = np.array([int(c) for c in mask], dtype=np.uint64)
-        h = (windows * (r * on)[None, :]).sum(axis=1, dtype=np.uint64) + np.uint64(k)
-        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        hashes.append((h ^ (h >> np.uint64(32))).view(np.int64))
-    m = len(at)
-    return np.tile(at, len(MASKS)), np.repeat(np.arange(len(MASKS), dtype=np.int64), m), np.concatenate(hashes)
-
-
-def hash_batches(step: int, around: int, held: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, bare) to (key, h, at, context): ``context`` reaches ``around`` characters beyond the window."""
+    sums = np.zeros((len(MASKS), m), dtype=np.uint64)
+    for j in range(span):
+        part = codes[j : j + m] * r[j]
+        for k, mask in enumerate(MASKS):
+            if mask[j] == "1":
+                sums[k] += part
+    sums += np.arange(len(MASKS), dtype=np.uint64)[:, None]
+    sums = (sums ^ (sums >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return (sums ^ (sums >> np.uint64(32))).view(np.int64)
+
+
+class Held:
+    """Sorted hashes; a table of bits by their last ``BITS`` bits tells most others apart."""
+
+    BITS = 26
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
+        self.table = np.zeros(1 << (self.BITS - 3), dtype=np.uint8)
+        x = self.spot(hashes)
+        np.bitwise_or.at(self.table, x >> 3, np.uint8(1) << (x & 7).astype(np.uint8))
+
+    def spot(self, h: np.ndarray) -> np.ndarray:
+        return h & ((1 << self.BITS) - 1)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Where ``h`` has a held hash."""
+        x = self.spot(h)
+        at = np.nonzero((self.table[x >> 3] >> (x & 7).astype(np.uint8)) & 1)[0]
+        i = np.searchsorted(self.hashes, h[at])
+        return at[self.hashes[np.minimum(i, len(self.hashes) - 1)] == h[at]]
+
+
+def hash_batches(around: int, held: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bare) to (key, h, at, off, context): ``context`` reaches ``around`` characters beyond the window.
+
+    Texts are hashed some at a time, end to end; windows across two of them are left out.
+    """
     span = len(MASKS[0])
+    filtered = Held(held) if held is not None else None
+
+    def hashed(texts: list[tuple[int, str]], own: pa.Array) -> pa.RecordBatch | None:
+        codes = [codes_of(x) for _, x in texts]
+        ends = np.cumsum([len(c) for c in codes])
+        h = seed_hashes(np.concatenate(codes))
+        places = [filtered.places(x) if filtered else np.arange(len(x)) for x in h]
+        at, h = np.concatenate(places), np.concatenate([x[p] for x, p in zip(h, places)])
+        of = np.searchsorted(ends, at, side="right")
+        inside = at + span <= ends[of] if len(at) else np.zeros(0, dtype=bool)
+        at, h, of = at[inside], h[inside], of[inside]
+        if not len(at):
+            return None
+        at = at - (ends - [len(c) for c in codes])[of]
+        lo = np.maximum(0, at - around)
+        ctx = [texts[n][1][p : q + span + around] for n, p, q in zip(of.tolist(), lo.tolist(), at.tolist())]
+        keys = own.take(pa.array(np.array([k for k, _ in texts])[of]))
+        return pa.RecordBatch.from_arrays([keys, pa.array(h), pa.array(at - lo), pa.array(lo), pa.array(ctx, pa.string())], names=["key", "h", "at", "off", "context"])
+
     for b in batches:
-        keys, hs, ats, ctx, offs = [], [], [], [], []
+        texts, size = [], 0
         for k, x in enumerate(b.column(1).to_pylist()):
-            if not x:
-                continue
-            at, _, h = seed_hashes(codes_of(x), step)
-            if held is not None and len(h):
-                i = np.searchsorted(held, h)
-                hit = held[np.minimum(i, len(held) - 1)] == h
-                at, h = at[hit], h[hit]
-            if not len(h):
-                continue
-            keys.append(np.full(len(h), k))
-            hs.append(h)
-            lo = np.maximum(0, at - around)
-            ats.append(at - lo)
-            offs.append(lo)
-            ctx += [x[p : q + span + around] for p, q in zip(lo.tolist(), at.tolist())]
-        if keys:
-            own = b.column(0).take(pa.array(np.concatenate(keys)))
-            yield pa.RecordBatch.from_arrays([own, pa.array(np.concatenate(hs)), pa.array(np.concatenate(ats)), pa.array(np.concatenate(offs)), pa.array(ctx, pa.string())], names=["key", "h", "at", "off", "context"])
+            if x:
+                texts.append((k, x))
+                size += len(x)
+            if size >= HASHED_AT_ONCE:
+                if (out := hashed(texts, b.column(0))) is not None:
+                    yield out
+                texts, size = [], 0
+        if texts and (out := hashed(texts, b.column(0))) is not None:
+            yield out
 
 
 def overlap(a: np.ndarray, b: np.ndarray, i: int, j: int, span: int, miss: int) -> tuple[int, int]:
@@ -121,19 +159,19 @@ def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     Returns the two keys, exact_run (the longest run of equal characters found, in bare
     form) and overlap (the same going past up to ``substitutions`` differing characters on
     each side). Both are measured up to three times ``shortest``. Rows have an overlap of
-    ``shortest`` or more; an exact run of that length is found always, one with
-    substitutions if a mask ignores them. Null keys and null, empty or shorter texts give
+    ``shortest`` or more; an exact run of that length is found always, and from 50 on one
+    with up to two substitutions in all; one with more if a mask ignores them. Null keys and null, empty or shorter texts give
     nothing; repeated rows count once. An empty table on either side gives an empty result.
     """
     span = len(MASKS[0])
-    step, around = shortest - span + 1, 3 * shortest
-    if step < 1:
+    around = 3 * shortest
+    if shortest < span:
         raise ValueError(f"the shortest overlap must be {span} or more")
     dk, ik = (d.schema[k].dataType.simpleString() for d, k in ((docs, doc_key), (items, item_key)))
     side = "h bigint, at bigint, off bigint, context string"
     item = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), bare_form(F.col(text)).alias("bare")).where("bare <> ''").distinct()
     item = cut(item.withColumn("row", F.xxhash64("item", "bare")))
-    ih = cut(item.select("row", "bare").mapInArrow(lambda it: hash_batches(1, 0, None, it), f"key bigint, {side}").select(F.col("key").alias("row"), "h", (F.col("off") + F.col("at")).alias("place")))
+    ih = cut(item.select("row", "bare").mapInArrow(lambda it: hash_batches(0, None, it), f"key bigint, {side}").select(F.col("key").alias("row"), "h", (F.col("off") + F.col("at")).alias("place")))
     n = ih.count()
     held = None
     if 0 < n <= held_hashes:  # the bound is checked: 8 bytes for each hash of the items
@@ -150,11 +188,11 @@ def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key:
     items_of = item.withColumnRenamed("bare", "item_bare")
     if held is not None:
         shared = docs.sparkSession.sparkContext.broadcast(held)
-        dh = doc.mapInArrow(lambda it: hash_batches(step, around, shared.value, it), f"key {dk}, {side}")
+        dh = doc.mapInArrow(lambda it: hash_batches(around, shared.value, it), f"key {dk}, {side}")
         hits = dh.join(ih, "h").join(items_of, "row").select("key", "item", "at", "context", item_at.alias("item_at"), item_context.alias("item_context"))
     else:
         doc = doc.where("bare <> ''").withColumn("doc_row", F.xxhash64("key", "bare"))
-        dh = doc.select("doc_row", "bare").mapInArrow(lambda it: hash_batches(step, 0, None, it), f"doc_row bigint, {side}").select("doc_row", "h", (F.col("off") + F.col("at")).alias("doc_place"))
+        dh = doc.select("doc_row", "bare").mapInArrow(lambda it: hash_batches(0, None, it), f"doc_row bigint, {side}").select("doc_row", "h", (F.col("off") + F.col("at")).alias("doc_place"))
         at, context = around_of("bare", "doc_place")
         hits = dh.join(ih, "h").join(items_of, "row").join(doc, "doc_row").select("key", "item", at.alias("at"), context.alias("context"), item_at.alias("item_at"), item_context.alias("item_context"))
     # a batch of hits leaves as two numbers each, so maxima are combined before the shuffle

@@ -43,5 +43,21 @@ def test_substitutions(spark):
     assert got[(1, 7)][1] >= 70 and got[(1, 7)][0] < len(x)
 
 
+def test_every_overlap_with_one_or_two_substitutions_is_found(spark):
+    r = random.Random(8)
+    made = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    docs, items = [], []
+    for n in range(240):
+        size = r.choice((50, 60, 70, 80))
+        x = list(made(size))
+        items.append((n, "y" + "".join(x) + "y"))
+        for at in r.sample(range(1, size - 1), 1 + n % 2):
+            x[at] = "z"
+        docs.append((n, made(r.randrange(100)) + "x" + "".join(x) + "x" + made(50)))
+    for held in (K.HELD_HASHES, 0):
+        got = run(spark, docs, items, held_hashes=held)
+        assert {(n, n) for n in range(240)} <= set(got)
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, "x" * 80)]) == {} and run(spark, [(1, "x" * 80)], []) == {}
