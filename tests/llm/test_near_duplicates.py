@@ -58,3 +58,19 @@ def test_empty(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert C.similar_pairs(empty, "id", F.col("t")).count() == 0
     assert C.near_duplicate_groups(empty, "id", F.col("t")).count() == 0
+
+
+def test_deep_trees_keep_pairs_at_the_threshold(spark):
+    r = random.Random(11)
+    made = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    texts = []
+    for _ in range(300):  # a template in which each text has a part of its own
+        x = made(200)
+        texts += [x, x[:166] + made(34)]
+    hot = made(170)
+    texts += [hot + made(30) for _ in range(60)]
+    sets = [set(C.grams(x).tolist()) for x in texts]
+    want = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if len(sets[a] & sets[b]) >= 0.7 * len(sets[a] | sets[b])}
+    reps = spark.createDataFrame([(f"{n:04}", x) for n, x in enumerate(texts)], "rep string, bare string")
+    got = {(int(x.a), int(x.b)) for x in C.similar_sets(reps, leaf=1).collect()}
+    assert got <= want and len(want) > 1000 and len(want - got) <= 0.004 * len(want)
