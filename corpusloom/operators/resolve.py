@@ -1,8 +1,8 @@
 """Entity resolution of concept mentions: profiles, pair classes, canonical concepts.
 
 The pairwise comparison is blocked: explicit aliases, equal bases and containment are found
-by equi-joins on normalised names and on their prefixes and suffixes; only vectors, when
-given, are compared within blocks of shared words. No step compares all pairs.
+by equi-joins on normalised names and on their rarest grams. Pairs that only likeness of
+vectors would join are not searched for. No step compares all pairs.
 """
 
 from __future__ import annotations
