@@ -6,12 +6,13 @@ reliable checkpoints. An undirected view has each edge in both directions, with
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpusloom.operators.hierarchy import cycle_members, find_roots, parent_table
-from corpusloom.plans.lineage import cut
+from corpusloom.operators.hierarchy import parent_table, resolved
+from corpusloom.plans.lineage import cut, release
 
 # Marks of placeholder nodes.
 VIRTUAL = "__virtual_"
@@ -146,47 +147,114 @@ def components(edges: DataFrame) -> DataFrame:
         links = cut(one.join(hooks.withColumnRenamed("node", "b"), "b").select(F.col("x").alias("a"), F.col("up").alias("b")).where("a <> b").distinct())
 
 
-def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that can reach themselves.
+def _forest(edges: DataFrame) -> bool:
+    """Whether no node has two incoming edges."""
+    return edges.groupBy("dst").count().where("count > 1").isEmpty()
 
-    Where no node has two incoming edges (checked), the merging of parent links finds them
-    in a logarithmic number of rounds. Else nodes without an incoming or outgoing edge are
-    trimmed until none is left, and reachability among the rest is closed by doubling.
-    """
-    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
-    if e.groupBy("dst").count().where("count > 1").isEmpty():
-        up = cut(parent_table(e, "src", "dst"))
-        sets, cyclic = find_roots(up)
-        return cycle_members(up, sets.where("not closed").select("node")).select("node") if cyclic else up.select("node").limit(0)
-    n = e.count()
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without an incoming or outgoing edge go, again and again."""
+    e, n = edges, edges.count()
     while n:
-        e2 = cut(e.join(e.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(e.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+        ins, outs = e.select(F.col("dst").alias("src")).distinct(), e.select(F.col("src").alias("dst")).distinct()
+        e2 = cut(e.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst"))
         m = e2.count()
         if m == n:
             break
+        if e is not edges:
+            release(e)
         e, n = e2, m
-    reach, n = e, e.count()
-    while n:
-        more = reach.join(reach.select(F.col("src").alias("dst"), F.col("dst").alias("far")), "dst").select("src", F.col("far").alias("dst"))
-        reach = cut(reach.unionByName(more).distinct())
-        m = reach.count()
-        if m == n:
-            break
-        n = m
-    return reach.where("src = dst").select(F.col("src").alias("node"))
+    return e
+
+
+def _spread(edges: DataFrame, label: DataFrame) -> DataFrame:
+    """(node, c): the smallest label of a node and of all nodes before it."""
+    while True:
+        got = edges.join(label.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("low"))
+        new = cut(label.join(got, "node", "left").select("node", F.least("c", F.coalesce("low", "c")).alias("c"), (F.col("low") < F.col("c")).alias("moved")))
+        still = not new.where("moved").isEmpty()
+        label = new.select("node", "c")
+        if not still:
+            return label
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): nodes that reach each other, in groups of two or more.
+
+    Colouring: after trimming, each node takes the smallest id that reaches it, and what
+    reaches that node within its colour is its group. What is found is taken out, and the
+    rest is coloured again. Only edges and one label a node are kept, never pairs of nodes.
+    """
+    found = edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    e = _trimmed(cut(edges.select("src", "dst").where("src <> dst").distinct()))
+    while not e.isEmpty():
+        nodes = e.select(F.col("src").alias("node")).unionByName(e.select(F.col("dst").alias("node"))).distinct()
+        colour = _spread(e, cut(nodes.withColumn("c", F.col("node"))))
+        inner = e.join(colour.toDF("src", "a"), "src").join(colour.toDF("dst", "b"), "dst").where("a = b").select("src", "dst", "a")
+        inner = cut(inner)
+        group = cut(colour.where("node = c"))
+        front = group
+        while True:  # backwards from the node that gave the colour
+            step = inner.join(front.select(F.col("node").alias("dst")), "dst").select(F.col("src").alias("node"), F.col("a").alias("c")).distinct()
+            front = cut(step.join(group, "node", "left_anti"))
+            if front.isEmpty():
+                break
+            group = cut(group.unionByName(front))
+        big = group.groupBy("c").count().where("count > 1").select("c")
+        found = cut(found.unionByName(group.join(big, "c", "left_semi").select("node", F.col("c").alias("component"))))
+        gone = group.select("node")
+        left = e.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst")
+        e = _trimmed(cut(left))
+    return found
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes that can reach themselves.
+
+    Where no node has two incoming edges (checked), disjoint sets over the parent links find
+    them in a logarithmic number of rounds; else they are the strong components.
+    """
+    e = cut(edges.select("src", "dst").where("src <> dst").distinct())
+    if _forest(e):
+        return resolved(cut(parent_table(e, "src", "dst"))).where("label is not null and size(seg) = 1").select("node")
+    return strong_components(e).select("node")
 
 
 def acyclic(edges: DataFrame, order: list[str]) -> DataFrame:
-    """Edges of a forest-shaped table in which each cycle loses its last edge in ``order``.
+    """Edges that stay when they are inserted in ``order`` and each that would close a cycle is refused.
 
-    For one incoming edge a node (the linker's output) this is what inserting edges in order
-    and refusing those that close a cycle leaves.
+    Only edges inside a strong component can be refused. With one incoming edge a node (the
+    linker's output) a component is one cycle, which loses its last edge. Otherwise insertion
+    is a sequence by nature, and a component's edges go through one task in their order.
     """
-    inside = cyclic_nodes(edges)
-    on = edges.join(inside.withColumnRenamed("node", "src"), "src", "left_semi").join(inside.withColumnRenamed("node", "dst"), "dst", "left_semi")
-    comp = components(on)
-    last = on.join(comp.withColumnRenamed("node", "src"), "src").groupBy("component").agg(F.max(F.struct(*order, "src", "dst")).alias("m")).select("m.src", "m.dst")
-    return edges.join(last, ["src", "dst"], "left_anti")
+    e = cut(edges)
+    if _forest(e.select("src", "dst").distinct()):
+        ring = resolved(cut(parent_table(e, "src", "dst"))).where("label is not null and size(seg) = 1").select("node", F.col("label").alias("component"))
+    else:
+        ring = strong_components(e)
+    ring = cut(ring)
+    own = ring.select(F.col("node").alias("dst"), F.col("component").alias("of"))
+    on = e.join(ring.withColumnRenamed("node", "src"), "src").join(own, "dst").where("component = of")
+
+    def refused(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([*order, "src", "dst"], kind="stable")
+        after: dict[str, list[str]] = {}
+        out = []
+        for a, b in zip(pdf["src"], pdf["dst"]):
+            seen, todo = {b}, [b]
+            while todo and a not in seen:
+                for x in after.get(todo.pop(), ()):
+                    if x not in seen:
+                        seen.add(x)
+                        todo.append(x)
+            if a in seen:
+                out.append((a, b))
+            else:
+                after.setdefault(a, []).append(b)
+        return pd.DataFrame(out, columns=["src", "dst"])
+
+    gone = on.select("component", *dict.fromkeys([*order, "src", "dst"])).groupBy("component").applyInPandas(refused, "src string, dst string")
+    return e.join(gone, ["src", "dst"], "left_anti")
 
 
 def adjacent(chunks: DataFrame) -> DataFrame:

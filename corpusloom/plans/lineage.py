@@ -8,18 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in tests."""
+    """The folder all executors share, as the cluster names it in ``spark.checkpoint.dir``.
+
+    Only a local master, all of whose tasks run on this machine, gets a temporary folder
+    where that setting is absent (tests, notebooks); any other raises an error.
+    """
     sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir")
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
-    return sc.getConf().get("spark.checkpoint.dir") or str(sc.getCheckpointDir())
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="corpusloom-checkpoint-"))
+    return named or str(sc.getCheckpointDir())
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with a reliable checkpoint and return it without its lineage.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only where that
-    setting is absent (tests, notebooks in local mode) a temporary folder is set.
-    """
+    """Materialise ``df`` with a reliable checkpoint and return it without its lineage."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the files of a checkpoint that ``cut`` made and nothing will read any more.
+
+    Loops call it for the state before the last one, so that what they keep on storage
+    doesn't grow with their rounds. Anything but a checkpoint is left alone.
+    """
+    plan = df._jdf.queryExecution().logical()
+    if plan.getClass().getSimpleName() != "LogicalRDD":
+        return
+    file = plan.rdd().getCheckpointFile()
+    if file.isEmpty():
+        return
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(file.get())
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

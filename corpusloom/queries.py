@@ -18,9 +18,13 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return full.select("node_id", "root_id", "depth", "path", "n_descendants")
 
 
+def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(table(spark, d, "concept_edges")).select("node_id", "descendant_id")
+
+
 AREAS = (evidence, retrieval, graph, learning, linking, store, streams)
 
-QUERIES: dict[str, Query] = {"p5_found": p5_found}
+QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_descendants": p5_descendants}
 
 SQL: dict[str, str] = {
     "p5_found": """
@@ -40,6 +44,15 @@ SQL: dict[str, str] = {
         ), counts as (select anc, count(*) as n from pairs where anc <> below group by 1)
         select u.node as node_id, coalesce(t.root, '') as root_id, coalesce(t.depth, -1)::bigint as depth, coalesce(t.path, '') as path, coalesce(c.n, 0)::bigint as n_descendants
         from up u left join tree t on t.node = u.node left join counts c on c.anc = u.node""",
+    "p5_descendants": """
+        with recursive up as (
+            select child_id as node, min(nullif(parent_id, '')) as parent from concept_edges where child_id <> '' group by 1
+        ), pairs as (
+            select parent as anc, node as below from up where parent is not null
+            union
+            select p.anc, u.node from pairs p join up u on u.parent = p.below
+        )
+        select anc as node_id, below as descendant_id from pairs where anc <> below""",
 }
 
 for _area in AREAS:

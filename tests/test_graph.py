@@ -64,3 +64,33 @@ def test_reconcile(spark):
     f = spark.createDataFrame([("1",), ("2",), ("5",), ("5",)], "gap_id string")
     got = {tuple(r) for r in GP.reconcile(s, f).collect()}
     assert got == {("1", "open", "refreshed"), ("2", "open", "reopened"), ("3", "ignored", "kept"), ("4", "obsolete", "obsoleted"), ("5", "open", "inserted")}
+
+
+def test_strong_components_and_refused_edges(spark):
+    import random
+
+    r = random.Random(6)
+    for n, m in ((14, 24), (8, 30)):
+        pairs = sorted({(f"v{r.randrange(n):02}", f"v{r.randrange(n):02}") for _ in range(m)})
+        edges = [(a, b, r.choice("xyz")) for a, b in pairs if a != b]
+        reach = {a: {a} for e in edges for a in e[:2]}
+        for _ in reach:
+            for a, b, _w in edges:
+                for s in reach.values():
+                    if a in s:
+                        s.add(b)
+        want = {a: min(b for b in reach if b in reach[a] and a in reach[b]) for a in reach if any(b != a and b in reach[a] and a in reach[b] for b in reach)}
+        df = spark.createDataFrame(edges, "src string, dst string, w string")
+        assert {x.node: x.component for x in G.strong_components(df).collect()} == want
+        kept, after = set(), {}
+        for a, b, w in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
+            seen, todo = {b}, [b]
+            while todo:
+                for x in after.get(todo.pop(), ()):
+                    if x not in seen:
+                        seen.add(x)
+                        todo.append(x)
+            if a not in seen:
+                kept.add((a, b, w))
+                after.setdefault(a, []).append(b)
+        assert {tuple(x) for x in G.acyclic(df, ["w"]).select("src", "dst", "w").collect()} == kept

@@ -1,6 +1,6 @@
 import random
 
-from corpusloom.operators.hierarchy import hierarchy, local_sets
+from corpusloom.operators.hierarchy import CYCLIC, OPEN, ROOTED, descendants, hierarchy, local_sets
 
 SCHEMA = "parent_id string, child_id string, node string, anc string, label string"
 
@@ -32,18 +32,44 @@ def brute(rows):
     return out
 
 
-def run(spark, rows):
+def run(spark, rows, **how):
     df = spark.createDataFrame([(*r, "x", "y", None) for r in rows], SCHEMA)
-    return {r.node_id: (r.root_id, r.depth, r.path, r.n_descendants) for r in hierarchy(df).collect()}
+    return {r.node_id: (r.root_id, r.depth, r.path, r.n_descendants) for r in hierarchy(df, **how).collect()}
 
 
-def test_trees_chains_and_cycles(spark):
+def forest():
     r = random.Random(8)
     rows = [(f"n{r.randrange(i) if i else 0}", f"n{i}") for i in range(1, 60)]
     rows += [(f"d{i}", f"d{i + 1}") for i in range(70)]
     rows += [("a", "b"), ("b", "c"), ("c", "a"), ("c", "t"), ("t", "u"), ("s", "s"), ("s", "s1"), ("p", "q"), ("q", "p")]
-    rows += [(None, "n0"), ("", "lone"), ("onlyparent", None), (None, None), rows[0], ("z2", "multi"), ("z1", "multi")]
-    assert run(spark, rows) == brute(rows)
+    rows += [(f"r{i}", f"r{(i + 1) % 40}") for i in range(40)] + [("r7", "v"), ("v", "w")]
+    return [*rows, (None, "n0"), ("", "lone"), ("onlyparent", None), (None, None), rows[0], ("z2", "multi"), ("z1", "multi")]
+
+
+def test_trees_chains_and_cycles(spark):
+    for local_links in (10**6, 60, 17):  # one partition, and paths and cycles across some
+        assert run(spark, forest(), local_links=local_links) == brute(forest())
+
+
+def test_descendants(spark):
+    rows = forest()
+    kids = {}
+    for p, c in {(min(p for p, x in rows if x == c and p), c) for _, c in rows if c and any(x == c and p for p, x in rows)}:
+        kids.setdefault(p, set()).add(c)
+    want = set()
+    for n in {x for r in rows for x in r if x}:
+        below, todo = set(), [n]
+        while todo:
+            for k in kids.get(todo.pop(), ()):
+                if k not in below:
+                    below.add(k)
+                    todo.append(k)
+        want |= {(n, x) for x in below - {n}}
+    df = spark.createDataFrame([(*r, "x", "y", None) for r in rows], SCHEMA)
+    for local_links in (10**6, 17):
+        got = descendants(df, local_links=local_links).collect()
+        assert len(got) == len(want) and {(r.node_id, r.descendant_id) for r in got} == want
+        assert {r.distance for r in got if r.node_id == "d3" and r.descendant_id == "d60"} == {57}
 
 
 def test_hub(spark):
@@ -57,16 +83,7 @@ def test_empty(spark):
 
 
 def test_local_sets_keep_weights():
-    import pandas as pd
-
-    pdf = pd.DataFrame({"node": ["a", "b", "c", "x"], "parent": [None, "a", "b", "outside"]})
-    got = {t.node: (t.anc, t.off, t.closed) for t in next(local_sets(iter([pdf]))).itertuples()}
-    assert got == {"a": ("a", 0, True), "b": ("a", 1, True), "c": ("a", 2, True), "x": ("outside", 1, False)}
-
-
-def test_small_blocks_change_nothing():
-    import pandas as pd
-
-    chain = pd.DataFrame({"node": [f"n{i}" for i in range(10)], "parent": [None, *[f"n{i}" for i in range(9)]]})
-    got = pd.concat(local_sets(iter([chain[:4], chain[4:7], chain[7:]]), block=3)).set_index("node")
-    assert got.loc["n3"].tolist() == ["n0", 3, True] and got.loc["n6"].tolist() == ["n3", 3, False] and got.loc["n9"].tolist() == ["n6", 3, False]
+    got = {x[0]: x[1:] for x in local_sets(["a", "b", "c", "x", "y", "p", "q", "t"], [None, "a", "b", "outside", "x", "q", "p", "q"])}
+    assert got["a"] == ("a", ROOTED, None, 2, ["a"]) and got["c"] == ("a", ROOTED, None, 0, ["a", "b", "c"])
+    assert got["y"] == ("outside", OPEN, None, 0, ["x", "y"])
+    assert got["p"] == ("p", CYCLIC, "p", 0, ["p"]) and got["q"] == ("q", CYCLIC, "p", 1, ["q"]) and got["t"] == ("q", CYCLIC, "p", 0, ["q", "t"])
