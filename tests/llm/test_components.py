@@ -26,8 +26,19 @@ def test_random_graphs_chains_and_hubs(spark):
     pairs += [("hub", "h999", f"h{i:03d}") for i in range(200)]
     pairs += [(None, "a", "b"), ("", "a", "c"), ("x", None, "b"), ("x", "", "b"), ("x", "s", "s"), pairs[0], (pairs[0][0], pairs[0][2], pairs[0][1])]
     df = spark.createDataFrame([(*p, "junk", "junk") for p in pairs], "b string, l string, r string, scope string, u string")
-    got = {tuple(x) for x in C.connected_groups(df, "l", "r", "b").collect()}
-    assert got == brute(pairs)
+    for hub in (C.HUB, 3):  # through the joins, and hubs by broadcast
+        got = [tuple(x) for x in C.connected_groups(df, "l", "r", "b", hub=hub).collect()]
+        assert len(got) == len(set(got)) and set(got) == brute(pairs)
+
+
+def test_a_hub_of_most_edges_meets_no_shuffle_join(spark):
+    pairs = [("h0", f"n{i:04}") for i in range(3000)] + [(f"a{i:04}", f"b{i:04}") for i in range(1000)]
+    df = spark.createDataFrame(pairs, "l string, r string")
+    got = {x.name: x.group_name for x in C.connected_groups(df, "l", "r", hub=100).collect()}
+    assert len(got) == 5001 and got["n2999"] == "h0" and got["b0007"] == "a0007"
+    edges = spark.createDataFrame([(i + 1, 0) for i in range(3000)], "u bigint, v bigint")
+    plan = C.large_star(edges, 100)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
 
 
 def test_decisions_and_empty(spark):
