@@ -5,12 +5,16 @@ seed is a mask over a window of positions: the characters at its ones are hashed
 its zeros ignored, so a substitution there leaves the hash as it is. Both sides are hashed at
 every position: in an overlap of 50 characters, wherever one or two of them are substituted,
 some window has them outside or at zeros of its mask (with three, all but 117 of 19,600
-placements). Test and training hashes are joined, and around each hit the overlap is extended both ways, over substitutions too.
+placements). Test and training hashes are joined; a hit names a diagonal (the shift between
+the two texts), and each diagonal is verified once over its whole length, substitutions too.
 
-Hashes of documents that no item has are dropped in the scan while the items' hashes fit a
-checked bound; what is left carries the characters around its window, as many as the
-verification needs, so no document is fetched again. Beyond the bound all hashes go through
-a shuffle join without texts, and only hits fetch theirs.
+The positions of a seed are characters of the bare form, since overlaps are defined on it: it
+has no spaces, Chinese has no words, and 50 characters may hold a single whole German one.
+
+While the items' hashes fit a checked bound (so do then their texts), the workers hold them,
+and a document is hashed, joined and verified in one scan without a shuffle. Beyond it hashes
+go through a shuffle join without texts, each once a row; documents and items that share any
+then meet once, with their whole texts.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.chosen_path import bare_form
@@ -79,123 +83,159 @@ class Held:
         return at[self.hashes[np.minimum(i, len(self.hashes) - 1)] == h[at]]
 
 
-def hash_batches(around: int, held: np.ndarray | None, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, bare) to (key, h, at, off, context): ``context`` reaches ``around`` characters beyond the window.
-
-    Texts are hashed some at a time, end to end; windows across two of them are left out.
-    """
+def windows_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, place, hash) of all windows of some texts, hashed end to end."""
     span = len(MASKS[0])
-    filtered = Held(held) if held is not None else None
-
-    def hashed(texts: list[tuple[int, str]], own: pa.Array) -> pa.RecordBatch | None:
-        codes = [codes_of(x) for _, x in texts]
-        ends = np.cumsum([len(c) for c in codes])
-        h = seed_hashes(np.concatenate(codes))
-        places = [filtered.places(x) if filtered else np.arange(len(x)) for x in h]
-        at, h = np.concatenate(places), np.concatenate([x[p] for x, p in zip(h, places)])
-        of = np.searchsorted(ends, at, side="right")
-        inside = at + span <= ends[of] if len(at) else np.zeros(0, dtype=bool)
-        at, h, of = at[inside], h[inside], of[inside]
-        if not len(at):
-            return None
-        at = at - (ends - [len(c) for c in codes])[of]
-        lo = np.maximum(0, at - around)
-        ctx = [texts[n][1][p : q + span + around] for n, p, q in zip(of.tolist(), lo.tolist(), at.tolist())]
-        keys = own.take(pa.array(np.array([k for k, _ in texts])[of]))
-        return pa.RecordBatch.from_arrays([keys, pa.array(h), pa.array(at - lo), pa.array(lo), pa.array(ctx, pa.string())], names=["key", "h", "at", "off", "context"])
-
+    codes = [codes_of(x) for x in texts]
+    size = np.array([len(c) for c in codes], dtype=np.int64)
+    ends = np.cumsum(size)
+    h = seed_hashes(np.concatenate(codes)) if codes else np.empty((len(MASKS), 0), dtype=np.int64)
+    at = np.tile(np.arange(h.shape[1], dtype=np.int64), len(MASKS))
+    of = np.searchsorted(ends, at, side="right")
+    inside = at + span <= ends[np.minimum(of, len(ends) - 1)] if len(at) else np.zeros(0, dtype=bool)
+    return of[inside], (at - (ends - size)[np.minimum(of, len(ends) - 1)])[inside] if len(at) else at, h.reshape(-1)[inside]
+
+
+def grouped(texts: list[str]) -> Iterator[list[int]]:
+    """Numbers of the texts, some at a time, so that what is made on the way stays small."""
+    some, size = [], 0
+    for k, x in enumerate(texts):
+        if x:
+            some.append(k)
+            size += len(x)
+        if size >= HASHED_AT_ONCE:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
+def hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, bare) to the distinct (h, row)."""
     for b in batches:
-        texts, size = [], 0
-        for k, x in enumerate(b.column(1).to_pylist()):
-            if x:
-                texts.append((k, x))
-                size += len(x)
-            if size >= HASHED_AT_ONCE:
-                if (out := hashed(texts, b.column(0))) is not None:
-                    yield out
-                texts, size = [], 0
-        if texts and (out := hashed(texts, b.column(0))) is not None:
-            yield out
-
-
-def overlap(a: np.ndarray, b: np.ndarray, i: int, j: int, span: int, miss: int) -> tuple[int, int]:
-    """(longest exact run, tolerant overlap) through the window a[i:i+span], b[j:j+span].
-
-    The tolerant overlap goes on past substitutions, up to ``miss`` of them on each side of
-    the window, and is trimmed to end at equal characters; the window's own don't count.
+        texts = b.column(1).to_pylist()
+        for some in grouped(texts):
+            of, _, h = windows_of([texts[k] for k in some])
+            if len(h):
+                u = np.unique(np.stack([h, np.array(b.column(0).take(pa.array(some)), dtype=np.int64)[of]]), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(u[0]), pa.array(u[1])], names=["h", "row"])
+
+
+def stretch(same: np.ndarray, miss: int) -> tuple[int, int]:
+    """(longest run of equal characters, longest stretch with up to ``miss`` differing ones).
+
+    A stretch begins and ends with equal characters.
     """
-    lo, hi = min(i, j), min(len(a) - i, len(b) - j)
-    same = a[i - lo : i + hi] == b[j - lo : j + hi]
-    off = np.nonzero(~same)[0]
-    bounds = np.concatenate(([-1], off, [len(same)]))
-    runs = np.diff(bounds) - 1
-    touching = (bounds[1:] > lo) & (bounds[:-1] < lo + span)
-    exact = int(runs[touching].max()) if touching.any() else 0
-    left, right = off[off < lo][::-1], off[off >= lo + span]
-    s = int(left[miss]) + 1 if len(left) > miss else 0
-    e = int(right[miss]) if len(right) > miss else len(same)
-    while s < lo and not same[s]:
-        s += 1
-    while e > lo + span and not same[e - 1]:
-        e -= 1
-    return exact, e - s
-
-
-def verify_batches(miss: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hits (key, item, at, context, item_at, item_context) to (key, item, exact, tolerant)."""
-    span = len(MASKS[0])
+    off = np.concatenate(([-1], np.nonzero(~same)[0], [len(same)]))
+    exact = int(np.diff(off).max()) - 1
+    most = exact
+    for m in range(1, miss + 1):
+        if len(off) < m + 2:
+            break
+        size = off[m + 1 :] - off[: -m - 1] - 1
+        good = (np.diff(off)[: len(size)] > 1) & (np.diff(off)[m:] > 1)
+        most = max(most, int(size[good].max()) if good.any() else 0)
+    return exact, most
+
+
+def overlap(a: np.ndarray, b: np.ndarray, shift: int, miss: int) -> tuple[int, int]:
+    """``stretch`` of the diagonal on which a[i] meets b[i - shift]."""
+    lo, hi = max(0, shift), min(len(a), len(b) + shift)
+    return stretch(a[lo:hi] == b[lo - shift : hi - shift], miss)
+
+
+class Items:
+    """Held items: where each hash stands, behind a table of bits that drops most others."""
+
+    def __init__(self, ids: list, texts: list[str]) -> None:
+        self.ids, self.codes = ids, [codes_of(x) for x in texts]
+        parts = [(np.array(some)[of], at, h) for some in grouped(texts) for of, at, h in [windows_of([texts[k] for k in some])]]
+        of, at, h = (np.concatenate([p[i] for p in parts]) if parts else np.empty(0, dtype=np.int64) for i in range(3))
+        order = np.argsort(h, kind="stable")
+        self.of, self.at, self.h = of[order], at[order], h[order]
+        self.held = Held(np.unique(h)) if len(h) else None
+
+    def hits(self, texts: list[str]) -> dict[tuple[int, int], set[int]]:
+        """(text, item) to the diagonals on which they share a hash."""
+        out: dict[tuple[int, int], set[int]] = {}
+        if self.held is None:
+            return out
+        of, at, h = windows_of(texts)
+        near = self.held.places(h)
+        lo, hi = (np.searchsorted(self.h, h[near], side=x) for x in ("left", "right"))
+        n = hi - lo
+        which = np.repeat(near, n)
+        entry = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+        for d, i, s in np.unique(np.stack([of[which], self.of[entry], at[which] - self.at[entry]]), axis=1).T.tolist():
+            out.setdefault((d, i), set()).add(s)
+        return out
+
+
+def scan_batches(items: Items, shortest: int, miss: int, kinds: tuple[pa.DataType, pa.DataType], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, bare) of documents to (key, item, exact, tolerant) against the held items."""
+    for b in batches:
+        texts = b.column(1).to_pylist()
+        for some in grouped(texts):
+            own = [texts[k] for k in some]
+            rows = []
+            for (d, i), shifts in items.hits(own).items():
+                a = codes_of(own[d])
+                got = [overlap(a, items.codes[i], s, miss) for s in shifts]
+                most = max(t for _, t in got)
+                if most >= shortest:
+                    rows.append((some[d], items.ids[i], max(e for e, _ in got), most))
+            if rows:
+                k, i, e, t = zip(*rows)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(k)), pa.array(i, kinds[1]), pa.array(e, pa.int64()), pa.array(t, pa.int64())], names=["key", "item", "exact", "tolerant"])
+
+
+def verify_batches(shortest: int, miss: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (key, item, bare, item_bare) that share a hash to (key, item, exact, tolerant)."""
     for b in batches:
         ex, to = [], []
-        for at, c, iat, ic in zip(*(b.column(k).to_pylist() for k in range(2, 6))):
-            x, y = overlap(codes_of(c), codes_of(ic), at, iat, span, miss)
-            ex.append(x)
-            to.append(y)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ex, pa.int64()), pa.array(to, pa.int64())], names=["key", "item", "exact", "tolerant"])
+        for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+            one = Items([0], [y])
+            got = [overlap(codes_of(x), one.codes[0], s, miss) for s in one.hits([x]).get((0, 0), ())] or [(0, 0)]
+            ex.append(max(e for e, _ in got))
+            to.append(max(t for _, t in got))
+        keep = pa.array(np.array(to) >= shortest)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ex, pa.int64()), pa.array(to, pa.int64())], names=["key", "item", "exact", "tolerant"]).filter(keep)
 
 
 def leaked(docs: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", shortest: int = SHORTEST, substitutions: int = 2, held_hashes: int = HELD_HASHES) -> DataFrame:
     """Documents that hold passages of evaluation items, one row for each of both.
 
-    Returns the two keys, exact_run (the longest run of equal characters found, in bare
-    form) and overlap (the same going past up to ``substitutions`` differing characters on
-    each side). Both are measured up to three times ``shortest``. Rows have an overlap of
-    ``shortest`` or more; an exact run of that length is found always, and from 50 on one
-    with up to two substitutions in all; one with more if a mask ignores them. Null keys and null, empty or shorter texts give
+    Returns the two keys, exact_run (the longest run of equal characters, in bare form) and
+    overlap (the longest stretch with up to ``substitutions`` differing characters, equal at
+    both ends), each over the whole texts. Rows have an overlap of ``shortest`` or more; an
+    exact run of that length is found always, and from 50 on one with up to two substitutions;
+    one with more if a mask ignores them. Null keys and null, empty or shorter texts give
     nothing; repeated rows count once. An empty table on either side gives an empty result.
     """
     span = len(MASKS[0])
-    around = 3 * shortest
     if shortest < span:
         raise ValueError(f"the shortest overlap must be {span} or more")
-    dk, ik = (d.schema[k].dataType.simpleString() for d, k in ((docs, doc_key), (items, item_key)))
-    side = "h bigint, at bigint, off bigint, context string"
-    item = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), bare_form(F.col(text)).alias("bare")).where("bare <> ''").distinct()
-    item = cut(item.withColumn("row", F.xxhash64("item", "bare")))
-    ih = cut(item.select("row", "bare").mapInArrow(lambda it: hash_batches(0, None, it), f"key bigint, {side}").select(F.col("key").alias("row"), "h", (F.col("off") + F.col("at")).alias("place")))
-    n = ih.count()
-    held = None
-    if 0 < n <= held_hashes:  # the bound is checked: 8 bytes for each hash of the items
-        held = np.unique(np.array(ih.select("h").distinct().toPandas()["h"], dtype=np.int64))
-    doc = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("key"), bare_form(F.col(text)).alias("bare"))
-
-    def around_of(bare: str, place: str) -> tuple[Column, Column]:
-        """A window's place in its surroundings, and these."""
-        first = F.greatest(F.lit(0), F.col(place) - around)
-        return F.col(place) - first, F.substring(F.col(bare), (first + 1).cast("int"), F.lit(2 * around + span))
-
-    # hashes meet without texts; then a hit takes the characters around its windows
-    item_at, item_context = around_of("item_bare", "place")
-    items_of = item.withColumnRenamed("bare", "item_bare")
-    if held is not None:
-        shared = docs.sparkSession.sparkContext.broadcast(held)
-        dh = doc.mapInArrow(lambda it: hash_batches(around, shared.value, it), f"key {dk}, {side}")
-        hits = dh.join(ih, "h").join(items_of, "row").select("key", "item", "at", "context", item_at.alias("item_at"), item_context.alias("item_context"))
+    kinds = tuple(d.schema[k].dataType for d, k in ((docs, doc_key), (items, item_key)))
+    out = f"key {kinds[0].simpleString()}, item {kinds[1].simpleString()}, exact bigint, tolerant bigint"
+    item = items.where(F.col(item_key).isNotNull()).select(F.col(item_key).alias("item"), bare_form(F.col(text)).alias("bare")).where(F.length("bare") >= shortest).distinct()
+    doc = docs.where(F.col(doc_key).isNotNull()).select(F.col(doc_key).alias("key"), bare_form(F.col(text)).alias("bare")).where(F.length("bare") >= shortest)
+    # each character begins one window a mask at most; the sum is the checked bound of what is held
+    windows = item.agg(F.sum(F.length("bare"))).first()[0] or 0
+    if windows * len(MASKS) <= held_hashes:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        own = item.collect()
+        shared = docs.sparkSession.sparkContext.broadcast(([r.item for r in own], [r.bare for r in own]))
+        types = tuple(map(to_arrow_type, kinds))
+        looked = doc.mapInArrow(lambda it: scan_batches(Items(*shared.value), shortest, substitutions, types, it), out)
     else:
-        doc = doc.where("bare <> ''").withColumn("doc_row", F.xxhash64("key", "bare"))
-        dh = doc.select("doc_row", "bare").mapInArrow(lambda it: hash_batches(0, None, it), f"doc_row bigint, {side}").select("doc_row", "h", (F.col("off") + F.col("at")).alias("doc_place"))
-        at, context = around_of("bare", "doc_place")
-        hits = dh.join(ih, "h").join(items_of, "row").join(doc, "doc_row").select("key", "item", at.alias("at"), context.alias("context"), item_at.alias("item_at"), item_context.alias("item_context"))
-    # a batch of hits leaves as two numbers each, so maxima are combined before the shuffle
-    looked = hits.mapInArrow(lambda it: verify_batches(substitutions, it), f"key {dk}, item {ik}, exact bigint, tolerant bigint")
-    found = looked.where(F.col("tolerant") >= shortest).groupBy("key", "item").agg(F.max("exact").alias("exact_run"), F.max("tolerant").alias("overlap"))
+        item = cut(item.withColumn("row", F.xxhash64("item", "bare")))
+        doc = doc.distinct().withColumn("doc_row", F.xxhash64("key", "bare"))
+        ih = item.select("row", "bare").mapInArrow(hash_batches, "h bigint, row bigint")
+        dh = doc.select(F.col("doc_row").alias("row"), "bare").mapInArrow(hash_batches, "h bigint, row bigint").withColumnRenamed("row", "doc_row")
+        # rows that share a hash, one for both however many hashes they share
+        met = dh.join(ih, "h").select("doc_row", "row").distinct()
+        hits = met.join(item.withColumnRenamed("bare", "item_bare"), "row").join(doc, "doc_row").select("key", "item", "bare", "item_bare")
+        looked = hits.mapInArrow(lambda it: verify_batches(shortest, substitutions, it), out)
+    found = looked.groupBy("key", "item").agg(F.max("exact").alias("exact_run"), F.max("tolerant").alias("overlap"))
     return found.select(F.col("key").alias(doc_key), F.col("item").alias(item_key), "exact_run", "overlap")

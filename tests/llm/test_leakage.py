@@ -33,6 +33,20 @@ def test_exact_runs_equal_brute_force(spark):
     for held in (K.HELD_HASHES, 0):  # filtered in the scan, and by the shuffle join alone
         got = run(spark, docs, items, held_hashes=held)
         assert {k for k, (exact, _) in got.items() if exact >= 50} == want
+        of = {k: bare(x) for k, x in docs}, dict(items)
+        for (d, i), (exact, most) in got.items():  # measured over whole texts, however long
+            b, q = of[0][d], bare(of[1][i])
+            runs = [k for j in range(len(q)) for k in [next(n for n in range(len(q) - j, -1, -1) if q[j : j + n] in b)]] if exact >= 50 else [exact]
+            assert exact == max(runs) and most >= exact
+
+
+def test_a_wholly_copied_item_is_reported_whole(spark):
+    r = random.Random(2)
+    item = "".join(r.choice("abcdefghij") for _ in range(900))
+    copy = item[:300] + "Z" + item[301:600] + "Z" + item[601:]
+    docs = [(1, "x" * 400 + item + "y" * 400), (2, "x" * 77 + copy)]
+    for held in (K.HELD_HASHES, 0):
+        assert run(spark, docs, [(5, item)], held_hashes=held) == {(1, 5): (900, 900), (2, 5): (300, 900)}
 
 
 def test_substitutions(spark):
@@ -59,5 +73,21 @@ def test_every_overlap_with_one_or_two_substitutions_is_found(spark):
         assert {(n, n) for n in range(240)} <= set(got)
 
 
+def test_recall_of_overlaps_with_more_substitutions(spark):
+    r = random.Random(21)
+    made = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    docs, items = [], []
+    for n in range(300):
+        size, miss = r.choice((60, 80, 120)), 3 + n % 3
+        x = list(made(size))
+        items.append((n, "y" + "".join(x) + "y"))
+        for at in r.sample(range(1, size - 1), miss):
+            x[at] = "z"
+        docs.append((n, made(40) + "x" + "".join(x) + "x" + made(50)))
+    got = run(spark, docs, items, substitutions=5)
+    found = sum((n, n) in got for n in range(300))
+    assert found >= 0.97 * 300
+
+
 def test_empty(spark):
     assert run(spark, [], [(1, "x" * 80)]) == {} and run(spark, [(1, "x" * 80)], []) == {}
