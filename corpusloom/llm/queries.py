@@ -67,7 +67,7 @@ def p8_overlaps(spark: SparkSession, d: str) -> DataFrame:
 
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     got = pii.find_personal(table(spark, d, "documents"), table(spark, d, "roster"))
-    return got.select("doc_id", "kind", "value").distinct()
+    return got.where(F.col("kind").isin(*pii.KINDS)).select("doc_id", "kind", "value").distinct()
 
 
 def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
