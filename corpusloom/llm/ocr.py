@@ -1,15 +1,17 @@
 """Noise in text from scanned pages: furniture, broken words, misread words.
 
-Pages are sorted by document and page with one range partitioning; a stream over a
-partition keeps a window of a few pages, so a book of any length is never held as a group.
-What a partition must know of its neighbours (the edge lines of at most five pages) is
-exchanged by a job whose result is bounded by the number of partitions.
+Pages are sorted by document and page with one range partitioning and numbered along it, so a
+book of any length is never held as a group. Blocks of ``BLOCK`` pages in a row, with the
+``AROUND`` pages before and after them whole, are then spread over the tasks; every page is
+judged with the same pages around it, whatever the partitions.
 
 * *Furniture.* A line at a page's edge is judged together with the lines at the same place
-  of the pages around it by a boosted line-pair classifier.
+  of the pages around it by a boosted line-pair classifier, from the edge inwards until one
+  is body text.
 * *Joins.* A second line-pair classifier tells whether a word goes on in the next body line.
 * *Misread words.* Distinct unknown words meet the word list in an inverted join on their
-  character q-grams; a boosted ranking over edit and shape features picks the replacement.
+  rarest character q-grams; a boosted ranking over edit and shape features picks the
+  replacement.
 
 All three classifiers are trained here, on pages and misreadings generated from the word
 list (``TRAIN_PAGES`` pages and ``TRAIN_WORDS`` words, fixed seeds), so no labels are needed.
@@ -35,8 +37,10 @@ from corpusloom.plans.lineage import cut
 
 #: Bounds of the generated training data.
 TRAIN_PAGES, TRAIN_WORDS = 900, 6000
-#: Words a list may have; it is held by every worker.
+#: Words a list may have to be held by every worker; of a longer one each page gets its own.
 MAX_WORDS = 2_000_000
+#: Pages of a block, and pages it sees before and after it.
+BLOCK, AROUND = 256, 4
 Q = 2
 # Marks that a word broken at the end of a line carries.
 HYPHENS = "-¬\xad‐‑"
@@ -49,7 +53,7 @@ MISREADINGS = {
 # Words that stand with a page's number.
 PAGE_WORDS = ("page", "pages", "seite", "blatt", "folio", "página", "p", "pg", "pag", "s")
 TOTAL_WORDS = ("of", "von", "de", "aus")
-EDGE = 3  # lines at each edge that may be furniture
+EDGE = 3  # lines at each edge that are judged at once
 
 
 # --- lines ---------------------------------------------------------------------------
@@ -111,8 +115,8 @@ class Page:
     def __init__(self, doc: str, chunk: str, lines: list[str]) -> None:
         self.doc, self.chunk, self.lines = doc, chunk, lines
         self.full = [i for i, s in enumerate(lines) if s.strip()]
-        self.top = self.full[:EDGE]
-        self.bottom = self.full[::-1][:EDGE]
+        self.top = self.full
+        self.bottom = self.full[::-1]
         inner = sorted(len(lines[i].rstrip()) for i in (self.full[2:-2] or self.full))
         self.width = inner[int(0.95 * (len(inner) - 1))] if inner else 0
         self.seen: dict[int, tuple] = {}
@@ -121,8 +125,8 @@ class Page:
         """A line stripped, its number, its number if it is alone, and the q-grams of the rest."""
         if i not in self.seen:
             core, num = _without_number(self.lines[i])
-            alone = page_number_of(self.lines[i]) if len(self.lines[i]) < 200 else 0
-            low = core.lower()[:200]
+            alone = page_number_of(self.lines[i])
+            low = core.lower()
             self.seen[i] = (self.lines[i].strip(), num, alone, frozenset(low[j : j + 2] for j in range(len(low) - 1)))
         return self.seen[i]
 
@@ -184,15 +188,20 @@ def edge_features(page: Page, side: str, k: int, around: dict[int, Page]) -> lis
 def furniture(page: Page, around: dict[int, Page], model: Booster) -> dict[int, str]:
     """Line index to defect for the furniture of a page, from its edges inwards."""
     out: dict[int, str] = {}
-    n = len(page.top)
-    if not n:
-        return out
-    every = model.predict(np.array([edge_features(page, side, k, around) for side in ("top", "bottom") for k in range(n)]))
-    for side, p in (("top", every[:n]), ("bottom", every[n:])):
-        for k, i in enumerate(getattr(page, side)):
-            if p[k] < 0.5:
-                break
-            out[i] = "page_number" if page_number_of(page.lines[i]) else "running_line"
+    open_ = ["top", "bottom"] if page.full else []
+    k = 0
+    while open_:  # EDGE lines of each side at once; most pages need no more
+        n = range(k, min(k + EDGE, len(page.full)))
+        every = model.predict(np.array([edge_features(page, side, i, around) for side in open_ for i in n]))
+        still = []
+        for at, side in enumerate(open_):
+            p = every[at * len(n) : (at + 1) * len(n)]
+            own = next((i for i, x in enumerate(p) if x < 0.5), len(n))
+            for i in getattr(page, side)[k : k + own]:
+                out[i] = "page_number" if page_number_of(page.lines[i]) else "running_line"
+            if own == len(n) and k + EDGE < len(page.full):
+                still.append(side)
+        open_, k = still, k + EDGE
     return out
 
 
@@ -438,28 +447,38 @@ def rank_features(read: str, word: str, shared: int) -> list[float]:
     return [cost, cost / max(1, len(word)), 2 * shared / (len(read) + len(word) + 2), float(len(read) - len(word)), float(pre), float(suf), float(len(word)), float(sum(c.isdigit() for c in read)), float(("-" in read) == ("-" in word))]
 
 
-def corrections(unknown: DataFrame, wordlist: DataFrame, words: frozenset[str]) -> DataFrame:
-    """(read, word): the best replacement of each distinct unknown word, if one is likely.
+def corrections(unknown: DataFrame, wordlist: DataFrame, fitted: Booster) -> DataFrame:
+    """(read, word): the replacement of each distinct unknown word ranked first, if one is likely.
 
-    Candidates come from an inverted join on q-grams. Pairs are counted, then scored.
+    Candidates come from an inverted join on q-grams. Words that are alike share about half of
+    the shorter one's q-grams, so they share one of their rarest (rare in the word list) half
+    or so: only those are joined, and long postings are left alone. Shared q-grams are then
+    counted, and what has ``enough`` is scored.
     """
-    left = unknown.select("read", F.explode(_grams("read")).alias("g"))
     right = wordlist.select("word", F.explode(_grams("word")).alias("g"))
-    near = left.join(right, "g").where(F.abs(F.length("read") - F.length("word")) <= 3).groupBy("read", "word").agg(F.count(F.lit(1)).alias("shared"))
-    near = near.where(2 * F.col("shared") >= F.least(F.length("read"), F.length("word")))
+    often = right.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
-    model = models(words)[2]
+    def rarest(rows: DataFrame, word: str) -> DataFrame:
+        g = rows.select(word, F.explode(_grams(word)).alias("g")).join(often, "g", "left")
+        held = g.groupBy(word).agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), "g"))).alias("s"))
+        # a partner is up to three characters shorter; so many grams are shared at least
+        least = F.greatest(F.lit(1), F.ceil((F.length(word) - 3) / 2)).cast("int")
+        return held.select(word, F.explode(F.slice("s", F.lit(1), F.size("s") - least + 1)).alias("x")).select(word, F.col("x.g").alias("g"))
+
+    met = rarest(unknown, "read").join(rarest(wordlist, "word"), "g").where(F.abs(F.length("read") - F.length("word")) <= 3).select("read", "word").distinct()
+    near = met.withColumn("shared", F.size(F.array_intersect(_grams("read"), _grams("word"))))
+    near = near.where(2 * F.col("shared") >= F.least(F.length("read"), F.length("word")))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = np.array([rank_features(*t) for t in zip(*(b.column(i).to_pylist() for i in range(3)))])
-                p, cost = model.predict(x), x[:, 0]
+                p, cost = fitted.predict(x), x[:, 0]
                 keep = pa.array((p >= 0.5) & (cost <= 2.2))
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(p), pa.array(-cost)], names=["read", "word", "p", "near"]).filter(keep)
 
     ranked = near.mapInArrow(score, "read string, word string, p double, near double")
-    return ranked.groupBy("read").agg(F.max_by("word", F.struct("near", "p", "word")).alias("word"))
+    return ranked.groupBy("read").agg(F.max_by("word", F.struct("p", "near", "word")).alias("word"))
 
 
 def _grams(col: str):
@@ -477,78 +496,78 @@ def pages_in_order(chunks: DataFrame) -> DataFrame:
     return cut(rows.repartitionByRange("doc", "chunk").sortWithinPartitions("doc", "chunk"))
 
 
-def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, str]]:
-    """Rows in order; a page that was delivered twice counts once."""
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows without the ones whose document and page stand before them already."""
     last = None
     for b in batches:
-        for row in zip(*(b.column(i).to_pylist() for i in range(3))):
-            if row[:2] != last:
-                last = row[:2]
-                yield row
+        keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        keep = [k != p for k, p in zip(keys, [last, *keys])]
+        last = keys[-1] if keys else last
+        yield b if all(keep) else b.filter(pa.array(keep, pa.bool_()))
 
 
-def _trimmed(text: str) -> str:
-    """A page's edge lines and some inner ones, all that neighbours ask for."""
-    lines = text.split("\n")
-    lines = lines if len(lines) <= 40 else [*lines[:20], *lines[-20:]]
-    return "\n".join(s[:400] for s in lines)
+def numbered(pages: DataFrame) -> DataFrame:
+    """(g, doc, chunk, text): pages once each, numbered in order over all partitions.
+
+    One number of each partition, its pages, comes to the driver.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum(b.num_rows for b in _once(batches))
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([n], pa.int64())], names=["pid", "n"])
+
+    first, total = {}, 0
+    for pid, n in sorted(tuple(r) for r in pages.select("doc", "chunk").mapInArrow(counted, "pid bigint, n bigint").collect()):
+        first[pid] = total
+        total += n
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = first[TaskContext.get().partitionId()]
+        for b in _once(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(range(g, g + b.num_rows), pa.int64()), *b.columns], names=["g", "doc", "chunk", "text"])
+            g += b.num_rows
 
+    return pages.mapInArrow(number, "g bigint, doc string, chunk string, text string")
 
-def neighbours(pages: DataFrame) -> dict[int, tuple[list[tuple], list[tuple]]]:
-    """Partition to the two pages before it and the three after it.
 
-    Five trimmed pages of each partition come to the driver, whatever the table's size.
+def blocks(pages: DataFrame, size: int = BLOCK) -> DataFrame:
+    """Numbered pages in blocks: (block, g, doc, chunk, text, known), sorted within partitions.
+
+    A page near the end of a block goes to the next one too. ``known`` holds the listed words
+    a page asks for, or is null where all words are held by the workers.
     """
+    own = lambda d: F.floor((F.col("g") + d) / size)
+    of = F.filter(F.array_distinct(F.array(own(-AROUND), own(0), own(AROUND))), lambda b: b >= 0)
+    known = F.col("known") if "known" in pages.columns else F.lit(None).cast("array<string>")
+    return pages.select(F.explode(of).alias("block"), "g", "doc", "chunk", "text", known.alias("known")).repartition("block").sortWithinPartitions("block", "g")
 
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pid = TaskContext.get().partitionId()
-        head: list[tuple] = []
-        tail: deque[tuple] = deque(maxlen=2)
-        n = 0
-        for n, (d, c, x) in enumerate(_stream(batches), 1):
-            row = (pid, n, d, c, _trimmed(x))
-            head.append(row) if n <= 3 else tail.append(row)
-        rows = [*head, *tail]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["pid", "n", "doc", "chunk", "text"])
-
-    rows = sorted(tuple(r) for r in pages.mapInArrow(ends, "pid bigint, n bigint, doc string, chunk string, text string").collect())
-    out = {}
-    for pid in {r[0] for r in rows}:
-        before = [r[2:] for r in rows if r[0] < pid][-2:]
-        after = [r[2:] for r in rows if r[0] > pid][:3]
-        out[pid] = (before, after)
-    return out
 
+def windows(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int, list[Page | None], list[str] | None]]:
+    """(g, pages, known) for every page of the blocks: it and the four before and after it.
 
-def windows(batches: Iterator[pa.RecordBatch], near: dict[int, tuple[list[tuple], list[tuple]]]) -> Iterator[tuple[list[Page | None], bool]]:
-    """Five-page windows [p-2 .. p+3] within a document for every page of the partition."""
-    pid = TaskContext.get().partitionId()
-    before, after = near.get(pid, ([], []))
-
-    def every() -> Iterator[tuple[Page, bool]]:
-        for own, rows in ((False, before), (True, _stream(batches)), (False, after)):
-            for d, c, x in rows:
-                yield Page(d, c, x.split("\n")), own
-
-    buf: deque[tuple[Page | None, bool]] = deque([(None, False)] * 2, maxlen=6)
-    rows = iter(every())
-    ahead = True
-    while True:
-        while ahead and len(buf) < 6:
-            nxt = next(rows, None)
-            if nxt is None:
-                ahead = False
-            else:
-                buf.append(nxt)
-        while len(buf) < 6:
-            buf.append((None, False))
-        page, own = buf[2]
-        if page is None:
-            return
-        if own:
-            yield [p if p and p.doc == page.doc else None for p, _ in buf], own
-        buf.popleft()
+    Pages of other documents are None.
+    """
+    empty = [None] * (2 * AROUND)
+    buf: deque = deque(empty, maxlen=2 * AROUND + 1)
+    block = None
+
+    def pushed(entry: tuple | None) -> Iterator[tuple[int, list[Page | None], list[str] | None]]:
+        buf.append(entry)
+        mid = buf[AROUND] if len(buf) > 2 * AROUND else None
+        if mid and mid[0] // size == block:
+            yield mid[0], [e[1] if e and e[1].doc == mid[1].doc else None for e in buf], mid[2]
+
+    for b in batches:
+        for k, g, d, c, x, known in zip(*(b.column(i).to_pylist() for i in range(6))):
+            if k != block:
+                for _ in range(AROUND):
+                    yield from pushed(None)
+                buf.clear()
+                buf.extend(empty)
+                block = k
+            yield from pushed((g, Page(d, c, x.split("\n")), known))
+    for _ in range(AROUND):
+        yield from pushed(None)
 
 
 class Reader:
@@ -558,15 +577,47 @@ class Reader:
         self.words = words
         self.edges, self.joins, _ = fitted
         self.known: dict[tuple, bool] = {}
-        self.cache: dict[str, dict[int, str]] = {}
+        self.cache: dict[tuple[str, str], dict[int, str]] = {}
 
     def furniture(self, w: list[Page | None], i: int) -> dict[int, str]:
-        page = w[i]
-        if page.chunk not in self.cache:
-            if len(self.cache) > 16:
+        key = w[i].doc, w[i].chunk
+        if key not in self.cache:
+            if len(self.cache) > 32:
                 self.cache.clear()
-            self.cache[page.chunk] = furniture(page, {d: w[i + d] for d in (-2, -1, 1, 2) if 0 <= i + d < len(w) and w[i + d]}, self.edges)
-        return self.cache[page.chunk]
+            self.cache[key] = furniture(w[i], {d: w[i + d] for d in (-2, -1, 1, 2) if w[i + d]}, self.edges)
+        return self.cache[key]
+
+    def following(self, w: list[Page | None]) -> str | None:
+        """The first body line of the following pages."""
+        for k in (AROUND + 1, AROUND + 2):
+            if w[k] is None:
+                break
+            f = self.furniture(w, k)
+            rest = [j for j in w[k].full if j not in f]
+            if rest:
+                return w[k].lines[rest[0]]
+        return None
+
+    def asks(self, w: list[Page | None]) -> set[str]:
+        """All words that reading the page may look up in the list."""
+        page, out = w[AROUND], set()
+        own = self.furniture(w, AROUND)
+        body = [page.lines[i] for i in page.full if i not in own]
+        before = []
+        for k in (AROUND - 1, AROUND - 2):
+            if w[k] is not None:
+                f = self.furniture(w, k)
+                before = [w[k].lines[j] for j in w[k].full if j not in f][-1:]
+                if before:
+                    break
+        for line in body:
+            out.update(map(bare_word, line.split()))
+        ends = [*before, *body]
+        for a, b in zip(ends, [*ends[1:], self.following(w)]):
+            if b:
+                x, y = bare_word(a.split()[-1]), bare_word(b.split()[0])
+                out |= {x, y, x + y, f"{x}-{y}"}
+        return out - {""}
 
     def goes_on(self, left: str, right: str) -> bool:
         """Whether the word ``left`` ends a line with goes on as ``right``."""
@@ -582,19 +633,11 @@ class Reader:
 
         ``repaired`` is empty where ``unknown`` must be looked up first.
         """
-        page = w[2]
-        own = self.furniture(w, 2)
+        page = w[AROUND]
+        own = self.furniture(w, AROUND)
         out = [(i + 1, d, "", "") for i, d in own.items()]
         body = [i for i in page.full if i not in own]
-        nxt: str | None = None
-        for k in (3, 4):  # the first body line of the following pages
-            if w[k] is None:
-                break
-            f = self.furniture(w, k)
-            rest = [j for j in w[k].full if j not in f]
-            if rest:
-                nxt = w[k].lines[rest[0]]
-                break
+        nxt = self.following(w)
         skip_first = self._joined_before(w, own)
         if skip_first:
             out.append((0, "joined", "", ""))
@@ -623,69 +666,98 @@ class Reader:
 
     def _ended_before(self, w: list[Page | None]) -> bool:
         """Whether a paragraph ended on the page before."""
-        if w[1] is None:
+        before = w[AROUND - 1]
+        if before is None:
             return True
-        f = self.furniture(w, 1)
-        rest = [j for j in w[1].full if j not in f]
+        f = self.furniture(w, AROUND - 1)
+        rest = [j for j in before.full if j not in f]
         if not rest:
             return True
-        last = w[1].lines[rest[-1]].rstrip()
-        return last[-1] in ".?!:" and len(last) < 0.85 * w[1].width
+        last = before.lines[rest[-1]].rstrip()
+        return last[-1] in ".?!:" and len(last) < 0.85 * before.width
 
     def _joined_before(self, w: list[Page | None], own: dict[int, str]) -> bool:
         """Whether the page begins with the rest of a word."""
-        for k in (1, 0):
+        for k in (AROUND - 1, AROUND - 2):
             if w[k] is None:
                 return False
             f = self.furniture(w, k)
             rest = [j for j in w[k].full if j not in f]
             if rest:
                 last = w[k].lines[rest[-1]].split()[-1]
-                body = [i for i in w[2].full if i not in own]
-                return bool(body) and self.goes_on(last, w[2].lines[body[0]].split()[0])
+                body = [i for i in w[AROUND].full if i not in own]
+                return bool(body) and self.goes_on(last, w[AROUND].lines[body[0]].split()[0])
         return False
 
 
-def word_set(wordlist: DataFrame) -> frozenset[str]:
-    """Distinct lower-case words; more than ``MAX_WORDS`` raise an error."""
-    got = wordlist.select(F.lower("word").alias("word")).where("word <> ''").distinct().limit(MAX_WORDS + 1).collect()
-    if len(got) > MAX_WORDS:
-        raise ValueError(f"the word list has more than {MAX_WORDS} words")
-    return frozenset(r.word for r in got)
+def listed(wordlist: DataFrame) -> DataFrame:
+    """Distinct lower-case words of a list."""
+    return wordlist.select(F.lower("word").alias("word")).where("word <> ''").distinct()
 
 
-def _suspects(pages: DataFrame, words: frozenset[str], near: dict) -> DataFrame:
-    fitted = models(words)  # trained once, on the driver; a few kilobytes go to the workers
+def word_set(words: DataFrame, most: int = MAX_WORDS) -> tuple[frozenset[str], bool]:
+    """The words, and True; or ``most`` of a longer list by their hash, to train on, and False."""
+    got = words.limit(most + 1).collect()
+    if len(got) <= most:
+        return frozenset(r.word for r in got), True
+    return frozenset(r.word for r in words.orderBy(F.xxhash64("word"), "word").limit(most).collect()), False
+
+
+def _suspects(pages: DataFrame, words: DataFrame, fitted: tuple[Booster, Booster, Booster], held: frozenset[str] | None, size: int) -> DataFrame:
+    """What the reader sees on numbered pages; a list that isn't held is joined page by page."""
+    if held is None:
+
+        def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            reader = Reader(frozenset(), fitted)
+            for g, w, _ in windows(batches, size):
+                own = sorted(reader.asks(w))
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array([g] * len(own), pa.int64()), pa.array(own, pa.string())], names=["g", "word"])
+
+        known = blocks(pages, size).mapInArrow(asked, "g bigint, word string").join(words, "word")
+        pages = cut(pages.join(known.groupBy("g").agg(F.collect_set("word").alias("known")), "g", "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>"))))
+    shared = pages.sparkSession.sparkContext.broadcast((held or frozenset(), fitted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, rows = Reader(words, fitted), []
-        for w, _ in windows(batches, near):
-            rows += [(w[2].doc, w[2].chunk, *r) for r in reader.read(w)]
+        reader, rows = Reader(*shared.value), []
+        for _, w, known in windows(batches, size):
+            if known is not None:
+                reader.words = frozenset(known)
+            page = w[AROUND]
+            rows += [(page.doc, page.chunk, *r) for r in reader.read(w)]
             if len(rows) > 20_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=_NAMES)
                 rows = []
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _TYPES)], names=_NAMES)
 
-    return pages.mapInArrow(run, "doc string, chunk_id string, line_no bigint, defect string, repaired string, unknown string")
+    return blocks(pages, size).mapInArrow(run, "doc string, chunk_id string, line_no bigint, defect string, repaired string, unknown string")
 
 
 _NAMES = ["doc", "chunk_id", "line_no", "defect", "repaired", "unknown"]
 _TYPES = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string())
 
 
-def defects(chunks: DataFrame, wordlist: DataFrame) -> DataFrame:
+def _read(chunks: DataFrame, wordlist: DataFrame, size: int, most: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Numbered pages, what was seen on them, and the replacements of unknown words."""
+    words = listed(wordlist)
+    sample, whole = word_set(words, most)
+    fitted = models(sample)  # trained once, on the driver; a few kilobytes go to the workers
+    pages = numbered(pages_in_order(chunks))
+    seen = cut(_suspects(pages, words, fitted, sample if whole else None, size))
+    unknown = seen.where("unknown <> ''").select(F.col("unknown").alias("read")).distinct()
+    return pages, seen, corrections(unknown, words, fitted[2])
+
+
+def defects(chunks: DataFrame, wordlist: DataFrame, size: int = BLOCK, most: int = MAX_WORDS) -> DataFrame:
     """(chunk_id, line_no, defect, repaired) of scanned pages, as TESTDATA.md's p2_found.
 
     A page delivered twice counts once; a null text has no line, a null id no page, and
     pages without a document name are read as one document. Without words in the list only
-    furniture is found. An empty table gives an empty result.
+    furniture is found. An empty table gives an empty result. ``size`` (pages of a block)
+    changes nothing; of a list of more than ``most`` words so many are trained on.
     """
-    words = word_set(wordlist)
-    pages = pages_in_order(chunks)
-    seen = cut(_suspects(pages, words, neighbours(pages)))
-    unknown = seen.where("unknown <> ''").select(F.col("unknown").alias("read")).distinct()
-    fixed = corrections(unknown, wordlist.select(F.lower("word").alias("word")).where("word <> ''").distinct(), words)
+    _, seen, fixed = _read(chunks, wordlist, size, most)
     looked = seen.where("unknown <> ''").join(fixed, F.col("unknown") == F.col("read")).select("chunk_id", "line_no", "defect", F.col("word").alias("repaired"))
     return seen.where("unknown = '' and line_no > 0").select("chunk_id", "line_no", "defect", "repaired").unionByName(looked).distinct()
 
@@ -747,14 +819,10 @@ def paragraphs(chunks: DataFrame, wordlist: DataFrame) -> DataFrame:
     are replaced in their case, broken words whole, furniture is gone. See ``defects`` for
     nulls and repeats.
     """
-    words = word_set(wordlist)
-    pages = pages_in_order(chunks)
-    seen = cut(_suspects(pages, words, neighbours(pages)))
-    unknown = seen.where("unknown <> ''").select(F.col("unknown").alias("read")).distinct()
-    fixed = corrections(unknown, wordlist.select(F.lower("word").alias("word")).where("word <> ''").distinct(), words)
+    pages, seen, fixed = _read(chunks, wordlist, BLOCK, MAX_WORDS)
     looked = seen.join(fixed, F.col("unknown") == F.col("read"), "left").withColumn("word", F.when(F.col("unknown") == "", F.col("repaired")).otherwise(F.coalesce("word", "unknown")))
     marks = looked.groupBy("doc", F.col("chunk_id").alias("chunk")).agg(F.collect_list(F.struct("line_no", "defect", "unknown", "word")).alias("marks"))
-    both = pages.dropDuplicates(["doc", "chunk"]).join(marks, ["doc", "chunk"], "left").select("doc", "chunk", "text", "marks")
+    both = pages.join(marks, ["doc", "chunk"], "left").select("doc", "chunk", "text", "marks")
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -76,3 +76,45 @@ def test_joined_words_never_span_documents(spark):
     rows = [("a_1", "under modest fric-", "a", "ocr", None, None), ("b_1", "tion gradually", "b", "ocr", None, None)]
     got = O.defects(spark.createDataFrame(rows, CHUNKS), words(spark)).where("defect = 'split_word'").count()
     assert got == 0
+
+
+def book(n):
+    r = random.Random(n)
+    rows = []
+    for i in range(n):
+        body = "\n".join(" ".join(r.choice(WORDS) for _ in range(8)) + (" adap-\ntive" if r.random() < 0.3 else "") for _ in range(r.randrange(1, 9)))
+        rows.append((f"b_{i:04}", page(i + 1, "    " + body.replace("stable", "5table")), f"book{i // 30}", "ocr", None, None))
+    return rows
+
+
+def test_partitions_and_blocks_change_nothing(spark):
+    rows = book(70)
+    rows += [(f"w_{i}", ("Compact Signals " * 400 + f"\nline {i} " * 300 + "\n") * 2, "wide", "ocr", None, None) for i in range(9)]
+    df = spark.createDataFrame(rows, CHUNKS)
+    got = [{tuple(r) for r in O.defects(df.repartition(parts), words(spark), size=size).collect()} for parts, size in ((1, 1000), (3, 16), (7, 9))]
+    assert got[0] == got[1] == got[2] and len(got[0]) > 150
+
+
+def test_a_list_too_long_to_hold_gives_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(data() + book(40), CHUNKS)
+    want = {tuple(r) for r in O.defects(df, words(spark)).collect()}
+    fitted = O.models(frozenset({*WORDS, "every"}))
+    monkeypatch.setattr(O, "models", lambda sample: fitted)
+    assert {tuple(r) for r in O.defects(df, words(spark), most=len(WORDS) - 1).collect()} == want
+
+
+def test_rarest_grams_lose_no_candidate(spark):
+    r = random.Random(4)
+    listed = sorted({"".join(r.choice("abcd") for _ in range(r.randrange(2, 12))) for _ in range(150)})
+    reads = sorted({O.misread(w, r, 2) for w in listed} - set(listed))[:60]
+
+    class Every:
+        def predict(self, x):
+            return 1 - x[:, 0] / 100  # the nearest by cost
+
+    got = {x.read: x.word for x in O.corrections(spark.createDataFrame([(x,) for x in reads], "read string"), spark.createDataFrame([(w,) for w in listed], "word string"), Every()).collect()}
+    for x in reads:
+        cost = {w: O.misreading_cost(x, w) for w in listed if O.enough(len(set(O.qgrams(x)) & set(O.qgrams(w))), len(x), len(w))}
+        near = {w: c for w, c in cost.items() if c <= 2.2}
+        assert (x in got) == bool(near)
+        assert x not in got or near[got[x]] == min(near.values())
