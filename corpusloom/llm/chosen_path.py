@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.llm.components import connected_groups
+from corpusloom.llm.pairs import expanded, pairs_within
 from corpusloom.plans.lineage import cut
 
 #: Minwise positions of each tree.
@@ -229,20 +230,16 @@ def question_text() -> Column:
 def similar_pairs(df: DataFrame, key: str, text: Column, threshold: float = 0.7, **how: int) -> DataFrame:
     """All pairs (id_a < id_b) of records whose 4-gram sets have Jaccard >= threshold.
 
-    Copies are expanded, as the result asks for pairs of ids. Null texts count as empty and,
+    Copies are expanded, as the result asks for pairs of ids, in blocks (``pairs``). Null texts count as empty and,
     like all texts of under four letters and digits, are like nothing. A null id is dropped;
     an id with several texts is alike if one of them is. Repeated rows count once.
     """
     rows = cut(text_classes(df, key, text))
     reps = cut(representatives(rows))
     links = similar_sets(reps, threshold, **how)
-    member = rows.join(reps.where(F.length("bare") >= 4).select("k", "rep"), "k").select("rep", "id")
-    one, two = member.toDF("a", "x"), member.toDF("b", "y")
-    apart = links.join(one, "a").join(two, "b").select("x", "y")
-    copies = reps.where("size > 1").select(F.col("rep").alias("a"))
-    same = one.join(copies, "a", "left_semi")
-    within = same.join(same.toDF("a", "y"), "a").where("x < y").select("x", "y")
-    pairs = apart.unionByName(within).where("x <> y")
+    member = cut(rows.join(reps.where(F.length("bare") >= 4).select("k", "rep"), "k").select("rep", "id"))
+    apart = expanded(expanded(links, "a", member, "rep", "id", "x"), "b", member, "rep", "id", "y").select("x", "y")
+    pairs = apart.unionByName(pairs_within(member, "rep", "id").select("x", "y")).where("x <> y")
     return pairs.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).distinct()
 
 

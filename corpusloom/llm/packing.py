@@ -23,6 +23,8 @@ from corpusloom.plans.lineage import cut
 
 CAPACITY, OPEN = 2048, 64
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
+#: Bytes a vocabulary file may have; it is sent to the workers.
+VOCABULARY_BYTES = 64_000_000
 # Fixed value: the split pattern the public byte-level vocabularies were made with.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: The number of a partition's container of empty items.
@@ -32,16 +34,28 @@ FAN_IN = 64
 
 
 @lru_cache(2)
-def counter(vocabulary: str) -> Callable[[str], int]:
-    """Number of tokens of a text; special tokens' strings are ordinary text."""
+def counter_of(raw: bytes) -> Callable[[str], int]:
+    """Number of tokens of a text by a vocabulary file's bytes; special tokens' strings are ordinary text."""
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
     e = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return lambda text: len(e.encode_ordinary(text))
 
 
+def vocabulary_bytes(vocabulary: str) -> bytes:
+    """A vocabulary file, read where the driver runs; above ``VOCABULARY_BYTES`` an error."""
+    with open(vocabulary, "rb") as f:
+        raw = f.read(VOCABULARY_BYTES + 1)
+    if len(raw) > VOCABULARY_BYTES:
+        raise ValueError(f"{vocabulary} has more than {VOCABULARY_BYTES} bytes")
+    return raw
+
+
+def counter(vocabulary: str) -> Callable[[str], int]:
+    return counter_of(vocabulary_bytes(vocabulary))
+
+
 class Windows:
     """Open containers, kept in order of their free space."""
 
@@ -118,10 +132,11 @@ def pack(items: DataFrame, key: str, text: str, capacity: int = CAPACITY, open_w
     kind = rows.schema["key"].dataType.simpleString()
     schema = f"key {kind}, part int, start bigint, size bigint, place bigint, left boolean"
     # checkpointed at once: the containers' names depend on the partitions of this run
-    placed = cut(rows.mapInArrow(lambda it: pack_batches(capacity, open_windows, counter(vocabulary), it), schema))
+    shared = items.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
+    placed = cut(rows.mapInArrow(lambda it: pack_batches(capacity, open_windows, counter_of(shared.value), it), schema))
     # open containers, as items: at most open_windows of each partition
     level = cut(placed.where("left").groupBy("place").agg(F.sum("size").alias("size")).select(F.col("place").alias("key"), "size"))
-    n = max(1, placed.rdd.getNumPartitions())
+    n = (placed.agg(F.max(F.shiftright("place", 32))).first()[0] or 0) + 1  # partitions, by the last that placed a row
     moves: list[DataFrame] = []
     up = "key bigint, part int, start bigint, size bigint, place bigint, left boolean"
     while True:

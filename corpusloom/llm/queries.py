@@ -38,6 +38,10 @@ def p3_canonical(spark: SparkSession, d: str) -> DataFrame:
     return visual.canonical_text(texts.withColumn("as_stored", F.col("text")), "text")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    return visual.look_classes(table(spark, d, "canonical_concepts"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     pairs = components.merge_pairs(table(spark, d, "merge_candidates"))
     return components.connected_groups(pairs, "left_name", "right_name", "build_id").select(F.col("scope").alias("build_id"), "name", "group_name")
@@ -74,7 +78,7 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "roster"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_paragraphs, p3_found, p3_canonical, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_paragraphs, p3_found, p3_canonical, p3_classes, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
 
 SQL: dict[str, str] = {
     "p4_found": """

@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusloom.llm.pairs import pairs_within
+from corpusloom.plans.lineage import cut
+
 # Letters of other scripts drawn like a Latin letter, with that letter.
 LOOKALIKES = {
     # Cyrillic
@@ -29,6 +32,16 @@ LOOKALIKES = {
     "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ϲ": "c", "ϳ": "j", "Ϲ": "C",
     # Armenian
     "օ": "o", "ս": "u", "հ": "h", "Օ": "O", "Ս": "U",
+    # Cherokee
+    "Ꭰ": "D", "Ꭱ": "R", "Ꭲ": "T", "Ꭺ": "A", "Ꭻ": "J", "Ꭼ": "E", "Ꮃ": "W", "Ꮇ": "M", "Ꮋ": "H", "Ꮍ": "Y", "Ꮐ": "G", "Ꮓ": "Z",
+    "Ꮩ": "V", "Ꮪ": "S", "Ꮮ": "L", "Ꮯ": "C", "Ꮲ": "P", "Ꮶ": "K", "Ᏼ": "B",
+    # Coptic
+    "Ⲏ": "H", "Ⲓ": "I", "Ⲕ": "K", "Ⲙ": "M", "Ⲛ": "N", "Ⲟ": "O", "ⲟ": "o", "Ⲣ": "P", "ⲣ": "p", "Ⲥ": "C", "ⲥ": "c", "Ⲧ": "T", "Ⲭ": "X",
+    # Lisu
+    "ꓐ": "B", "ꓑ": "P", "ꓓ": "D", "ꓔ": "T", "ꓖ": "G", "ꓗ": "K", "ꓙ": "J", "ꓚ": "C", "ꓜ": "Z", "ꓝ": "F", "ꓟ": "M", "ꓠ": "N", "ꓡ": "L",
+    "ꓢ": "S", "ꓣ": "R", "ꓦ": "V", "ꓧ": "H", "ꓪ": "W", "ꓫ": "X", "ꓬ": "Y", "ꓮ": "A", "ꓰ": "E", "ꓲ": "I", "ꓳ": "O", "ꓴ": "U",
+    # Latin letters of the phonetic alphabet
+    "ɑ": "a", "ɡ": "g",
 }
 # Hyphens that look like the ordinary one.
 HYPHENS = "\u2010\u2011\u2012\u2212\ufe63\uff0d"
@@ -45,7 +58,7 @@ def tables() -> tuple[str, str, dict[str, str]]:
     """(from, to) for translate, and ligatures with their letters."""
     one: dict[str, str] = dict.fromkeys(HYPHENS, "-") | dict.fromkeys(BLANKS, " ")
     many: dict[str, str] = {}
-    for o in (*range(0xA0, 0x3400), *range(0xA640, 0xAC00), *range(0xF900, 0x10000), *range(0x2F800, 0x2FA1E)):
+    for o in (*range(0xA0, 0x3400), *range(0xA640, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA1E)):
         ch = chr(o)
         if ch in one:
             continue
@@ -56,11 +69,15 @@ def tables() -> tuple[str, str, dict[str, str]]:
             to = unicodedata.normalize("NFKC", ch)
             if to != ch and len(to) == 1:
                 one[ch] = one.get(to, to)
-        elif kind == "<compat" and unicodedata.category(ch)[0] == "L":
+        elif kind == "<font" and 0x1D400 <= o < 0x1D800:  # letters and digits of formulas
+            to = unicodedata.normalize("NFKC", ch)
+            if len(to) == 1:
+                one[ch] = LOOKALIKES.get(to, to)
+        elif kind == "<compat" and (unicodedata.category(ch)[0] == "L" or unicodedata.category(ch) == "Nl"):
             to = unicodedata.normalize("NFKC", ch)
             if len(to) > 1 and to.isalpha():
                 many[ch] = to
-            elif len(to) == 1 and to.isalpha() and unicodedata.name(ch, "").startswith("LATIN"):
+            elif len(to) == 1 and to.isalpha() and unicodedata.name(ch, "").startswith(("LATIN", "ROMAN")):
                 one[ch] = to  # the long s differs from s in looks and is dropped below
     one.pop("ſ", None)
     one |= LOOKALIKES
@@ -129,15 +146,30 @@ def concept_texts(concepts: DataFrame) -> DataFrame:
     return concepts.where("canonical_id is not null").select("canonical_id", texts.alias("text")).where("text is not null").distinct()
 
 
+def _forms(concepts: DataFrame) -> DataFrame:
+    """Distinct (canonical_id, form) of texts that aren't empty."""
+    return canonical_text(concept_texts(concepts), "text").where("form <> ''").select("canonical_id", "form").distinct()
+
+
 def same_looks(concepts: DataFrame) -> DataFrame:
     """Pairs of concepts (canonical_id_a < canonical_id_b) one text of which looks the same.
 
-    Null and empty texts, also those of invisible characters only, look like nothing.
+    Null and empty texts, also those of invisible characters only, look like nothing. A form
+    that many concepts share is worked through in blocks (``pairs``).
     """
-    forms = canonical_text(concept_texts(concepts), "text").where("form <> ''").select("canonical_id", "form").distinct()
+    forms = cut(_forms(concepts))
     # a form that one concept has only can't make a pair
-    shared = forms.groupBy("form").agg(F.min("canonical_id").alias("lo"), F.max("canonical_id").alias("hi")).where("lo < hi").select("form")
-    forms = forms.join(shared, "form", "left_semi")
-    a = forms.select("form", F.col("canonical_id").alias("canonical_id_a"))
-    b = forms.select("form", F.col("canonical_id").alias("canonical_id_b"))
-    return a.join(b, "form").where("canonical_id_a < canonical_id_b").select("canonical_id_a", "canonical_id_b").distinct()
+    shared = forms.groupBy("form").agg(F.min("canonical_id").alias("lo"), F.max("canonical_id").alias("hi")).where("lo < hi").select(F.col("form").alias("f"))
+    held = forms.join(shared, F.col("form") == F.col("f"), "left_semi")
+    return pairs_within(held, "form", "canonical_id").select(F.col("x").alias("canonical_id_a"), F.col("y").alias("canonical_id_b")).distinct()
+
+
+def look_classes(concepts: DataFrame) -> DataFrame:
+    """(canonical_id, form, class_id, n_alike): one row for each concept and form, no pairs.
+
+    ``class_id`` is the smallest id of the concepts with a text of that form, ``n_alike`` the
+    number of the others. See ``same_looks`` for nulls.
+    """
+    forms = cut(_forms(concepts))
+    of = forms.groupBy("form").agg(F.min("canonical_id").alias("class_id"), (F.count(F.lit(1)) - 1).alias("n_alike"))
+    return forms.join(of, "form").select("canonical_id", "form", "class_id", "n_alike")

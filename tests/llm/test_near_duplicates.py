@@ -74,3 +74,17 @@ def test_deep_trees_keep_pairs_at_the_threshold(spark):
     reps = spark.createDataFrame([(f"{n:04}", x) for n, x in enumerate(texts)], "rep string, bare string")
     got = {(int(x.a), int(x.b)) for x in C.similar_sets(reps, leaf=1).collect()}
     assert got <= want and len(want) > 1000 and len(want - got) <= 0.004 * len(want)
+
+
+def test_copies_and_links_of_hot_classes_in_blocks(spark, monkeypatch):
+    from corpusloom.llm import pairs
+
+    base = "the quick brown fox jumps over the lazy dog while the cat sleeps on the warm mat near the fire"
+    data = [(f"a{i:02}", base) for i in range(40)] + [(f"b{i:02}", base.replace("warm", "cold")) for i in range(25)] + [("z", "nothing like the others at all, truly")]
+    df = spark.createDataFrame([(*x, None, None) for x in data], SCHEMA)
+    want = {tuple(r) for r in C.similar_pairs(df, "id", F.col("t")).collect()}
+    assert len(want) == 65 * 64 // 2
+    monkeypatch.setattr(pairs.blocked, "__defaults__", (7,))
+    monkeypatch.setattr(pairs.pairs_within, "__defaults__", (7,))
+    monkeypatch.setattr(pairs.expanded, "__defaults__", (7,))
+    assert {tuple(r) for r in C.similar_pairs(df, "id", F.col("t")).collect()} == want

@@ -32,3 +32,19 @@ def test_pairs(spark):
     got = {tuple(r) for r in V.same_looks(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {("c1", "c2")}
     assert V.same_looks(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_more_scripts_and_letters_of_formulas(spark):
+    assert forms(spark, ["𝐀𝑏𝟟", "Ⅳ ⅷ", "ꓮꓢ", "ᎪᎷ", "Ⲟɡ"]) == ["Ab7", "IV viii", "AS", "AM", "Og"]
+
+
+def test_a_form_that_most_concepts_share(spark):
+    from corpusloom.llm.pairs import pairs_within
+
+    rows = [("f", i) for i in range(90)] + [("g", 1), ("g", 2), ("h", 5)]
+    df = spark.createDataFrame(rows, "form string, m int")
+    got = [tuple(r) for r in pairs_within(df, "form", "m", block=8).collect()]
+    assert len(got) == len(set(got)) == 90 * 89 // 2 + 1 and all(x < y for _, x, y in got)
+    concepts = spark.createDataFrame([(f"c{i}", "Αlpha" if i % 2 else "alpha", [f"x{i}"], "t", "f") for i in range(6)], SCHEMA)
+    got = {(r.canonical_id, r.form): (r.class_id, r.n_alike) for r in V.look_classes(concepts).collect()}
+    assert got["c3", "Alpha"] == ("c1", 2) and got["c4", "alpha"] == ("c0", 2) and got["c3", "x3"] == ("c3", 0)
