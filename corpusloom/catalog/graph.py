@@ -188,6 +188,11 @@ SQL = {
         k1 as (select seed, node from d0 union select seed, node from d1), d2 as (select seed, b as node, min(a) as via from d1 join v on a = node where (seed, b) not in (select (seed, node) from k1) group by 1, 2),
         k2 as (select * from k1 union select seed, node from d2), d3 as (select seed, b as node, min(a) as via from d2 join v on a = node where (seed, b) not in (select (seed, node) from k2) group by 1, 2)
         select seed, node, 0 as depth, null::varchar as via from d0 union all select seed, node, 1, via from d1 union all select seed, node, 2, via from d2 union all select seed, node, 3, via from d3""",
+    "expand_capped": "with " + ", ".join((_E, _S)) + """, r as (select * from e where not contains(src, '__virtual_') and not contains(dst, '__virtual_')), v as (select src as a, dst as b from r union select dst, src from r),
+        d1 as (select *, row_number() over (partition by seed order by node) + 1 as i from (select distinct seed, b as node from s join v on a = seed where b <> seed)), k1 as (select seed, node from d1 where i <= 20),
+        n1 as (select seed, count(*) + 1 as has from k1 group by 1), d2 as (select distinct k1.seed, b as node from k1 join v on a = k1.node where b <> k1.seed and (k1.seed, b) not in (select (seed, node) from k1)),
+        x2 as (select d2.seed, d2.node, row_number() over (partition by d2.seed order by d2.node) + has as i from d2 join n1 on n1.seed = d2.seed)
+        select seed, seed as node, 0 as depth from s union all select seed, node, 1 from k1 union all select seed, node, 2 from x2 where i <= 20""",
     "induced_edges": "with " + _E + ", " + _T + ", k as (select node from t where type in ('definition', 'law', 'application', 'extension')) select src, dst, rel from e where src in (select node from k) and dst in (select node from k)",
     "pagerank10": _PR,
     "concept_components": "with recursive " + ", ".join((_E, _U)) + ", r as (select distinct a as node, a as other from u union select r.node, u.b from r join u on u.a = r.other) select node, min(other) as component from r group by 1",
@@ -210,5 +215,10 @@ SQL = {
         select node, case type when 'law' then 'definition' when 'application' then 'definition,law' else 'definition,law,application' end as missing,
             case type when 'law' then 'HAS_LAW' when 'application' then 'HAS_LAW,APPLIES_TO' else 'HAS_LAW,APPLIES_TO,EXTENDS' end as replacement from x where type in ('law', 'application', 'extension')""",
     "gap_summary": f"select missing_type, count(*) as n from (select unnest(string_split(missing, ',')) as missing_type from ({_GAP}) where outcome = 'gap') group by 1",
+    "gap_reconcile": "with " + _E.replace("from concept_edges where", "from concept_edges where stage in ('parent_hint', 'embedding_llm') and") + f""", og as (select * from ({_GAP.replace("from concept_edges where", "from concept_edges where stage in ('parent_hint', 'embedding_llm') and")}) where outcome = 'gap'),
+        o as (select src || '|' || dst || '|' || missing as gap_id, min(case rel when 'EXTENDS' then 'ignored' when 'APPLIES_TO' then 'obsolete' else 'open' end) as old from og group by 1),
+        f as (select distinct src || '|' || dst || '|' || missing as gap_id, true as now from ({_GAP}) where outcome = 'gap' and rel <> 'HAS_LAW'), x as (select coalesce(o.gap_id, f.gap_id) as gap_id, old, coalesce(now, false) as now from o full join f on o.gap_id = f.gap_id)
+        select gap_id, case when old is null then 'open' when not now and old in ('open', 'supplemented') then 'obsolete' when now and old = 'obsolete' then 'open' else old end as status,
+            case when old is null then 'inserted' when not now and old in ('open', 'supplemented') then 'obsoleted' when now and old = 'obsolete' then 'reopened' when now then 'refreshed' else 'kept' end as action from x""",
     "gap_ids": f"""select distinct 'gap_' || sha256('{{"detector_version":"v1","missing_types":["' || replace(missing, ',', '","') || '"],"paradigm_id":"theory","source_id":"' || src || '","subject_id":"s1","target_id":"' || dst || '"}}') as gap_id from ({_GAP}) where outcome = 'gap'""",
 }

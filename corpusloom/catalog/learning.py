@@ -13,7 +13,7 @@ from corpusloom.sources.tables import table
 
 
 def _answers(spark: SparkSession, d: str) -> DataFrame:
-    """Answers once each: the row that arrived first."""
+    """Answers once each; rows that were delivered twice differ in their arrival only."""
     a = table(spark, d, "answers")
     return a.dropDuplicates(["answer_id"]).withColumn("is_correct", F.coalesce("is_correct", F.lit(False)))
 
@@ -115,7 +115,7 @@ def difficulty_heuristic(spark: SparkSession, d: str) -> DataFrame:
 
 def _mentions(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "canonical_concepts")
-    return c.select("name", "aliases", "concept_type", "description", "parent_hint", F.get("source_chunks", F.lit(0)).alias("source_chunk"))
+    return c.select("name", "aliases", "concept_type", "description", "parent_hint", "source_chunks")
 
 
 def name_profiles(spark: SparkSession, d: str) -> DataFrame:

@@ -178,7 +178,7 @@ _CLAIMS = "list_filter(list_transform(string_split_regex({t}, '[。！？\\n]+')
 _TERMS = "list_distinct(list_concat(regexp_extract_all({t}, '[A-Za-z]{{3,}}|\\d+\\.?\\d*%?'), regexp_extract_all({t}, '[\\x{{4E00}}-\\x{{9FFF}}]{{2,4}}')))"
 _PLAIN = "substr(trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(coalesce({t}, ''), '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&'), '\\s+', ' ', 'g')), 1, {n})"
 _REL = "list_distinct(list_concat(regexp_extract_all({t}, '[a-z0-9]{{2,}}'), flatten(list_transform(regexp_extract_all({t}, '[\\x{{4E00}}-\\x{{9FFF}}]{{2,}}'), lambda r: list_transform(range(1, length(r)), lambda i: substr(r, i, 2))))))"
-_INTENT = "case " + " ".join(f"when {' or '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in T.words(i))} then '{i}'" for i in T.INTENTS) + " else 'concept' end"
+_INTENT = "case " + " ".join(f"when {' or '.join(f'contains(t, {chr(39)}{w}{chr(39)})' for w in T.INTENTS[i])} then '{i}'" for i in T.INTENTS) + " else 'concept' end"
 
 
 def _variants() -> str:

@@ -110,9 +110,9 @@ def topic_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def bus_topic_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Users under 20 subscribe to the type of their first event."""
+    """Every user subscribes to the type of their first event."""
     e = table(spark, d, "events").select(F.col("event_type").alias("topic"), F.col("user_id").alias("sender"), "ts", "event_id")
-    s = e.where("sender < 20").groupBy(F.col("sender").alias("subscriber")).agg(F.min_by("topic", F.struct("ts", "event_id")).alias("topic"))
+    s = e.groupBy(F.col("sender").alias("subscriber")).agg(F.min_by("topic", F.struct("ts", "event_id")).alias("topic"))
     return A.deliveries(e, s)
 
 
@@ -162,7 +162,17 @@ QUERIES = {
 
 _USE = "select {k}, count(*) as n, round(coalesce(sum(value), 0), 4) as total, round(avg(value), 6) as mean, count_if(value > 50)::bigint as large from events group by 1"
 
+_END = "regexp_extract(substr(text, s + 751, 750), '(?s)^(.*)' || {p}, 1)"
+_SEPS = (("chr(10) || chr(10)", 2), ("chr(10)", 1), ("'。'", 1), ("'．'", 1), ("'[.] '", 2), ("'[?] '", 2), ("'! '", 2), ("'；'", 1), ("';'", 1))
+_CUT = "case " + " ".join(f"when regexp_matches(substr(text, s + 751, 750), '(?s)' || {p}) then s + 750 + length({_END.format(p=p)}) + {n}" for p, n in _SEPS) + " else s + 1500 end"
+_BLANK = "[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]+"
+
 SQL = {
+    "fixed_chunks": f"""with recursive d as (select doc_id, text, length(text) as n from documents where text <> ''), w as (
+            select doc_id, text, n, 0::bigint as s, (case when n <= 1500 then n else (select {_CUT} from (select d.text as text, 0 as s)) end)::bigint as e from d
+            union all select doc_id, text, n, e - 200, (case when e - 200 + 1500 >= n then n else (select {_CUT} from (select w.text as text, w.e - 200 as s)) end)::bigint from w where e < n),
+        p as (select doc_id, s, e, regexp_replace(regexp_replace(substr(text, s + 1, e - s), '^{_BLANK}', ''), '{_BLANK}$', '') as piece from w)
+        select doc_id, (row_number() over (partition by doc_id order by s) - 1)::int as pos, s as start, e as "end", piece from p where length(piece) >= 100""",
     "scan_filter_sql": "select subject, count(*) as n from documents where doc_type = 'lecture_note' and subject <> 'generic' group by 1",
     "scan_filter_matcher": "select subject, count(*) as n from documents where doc_type = 'lecture_note' and subject is distinct from 'generic' group by 1",
     "scan_page": "select doc_id, lang, n_chars from documents order by doc_id limit 50 offset 100",
@@ -182,7 +192,7 @@ SQL = {
     "dialog_last_n": "with x as (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as back from events) select user_id, row_number() over (partition by user_id order by ts, event_id)::int as pos, event_id, event_type from x where back <= 5",
     "dialog_sessions": "with x as (select user_id, ts, event_id, case when ts - lag(ts) over w > interval 30 minute or lag(ts) over w is null then 1 else 0 end as new from events window w as (partition by user_id order by ts, event_id)), s as (select *, sum(new) over (partition by user_id order by ts, event_id)::bigint as session from x) select user_id, session, count(*) as n, min(ts) as began, max(ts) as ended from s group by 1, 2",
     "topic_counts": "with x as (select *, row_number() over (partition by user_id order by ts, event_id)::int as turn from events) select user_id, event_type, count(*) as n, min(turn) as first_turn, max(turn) as last_turn from x group by 1, 2",
-    "bus_topic_stats": """with m as (select event_type as topic, user_id as sender, count(*) as n from events group by 1, 2), s as (select user_id as subscriber, arg_min(event_type, (ts, event_id)) as topic from events where user_id < 20 group by 1),
+    "bus_topic_stats": """with m as (select event_type as topic, user_id as sender, count(*) as n from events group by 1, 2), s as (select user_id as subscriber, arg_min(event_type, (ts, event_id)) as topic from events group by 1),
         o as (select m.topic, m.sender, m.n, count(case when s.subscriber <> m.sender then 1 end) as t from m left join s using (topic) group by 1, 2, 3) select topic, sum(n)::bigint as n, sum(n * t)::bigint as delivered, sum(case when t = 0 then n else 0 end)::bigint as dropped from o group by 1""",
     "linkage_jaccard": """with c as (select distinct canonical_id, chunk_id from (select canonical_id, unnest(source_chunks) as chunk_id from canonical_concepts)), k as (select distinct on (chunk_id) chunk_id, document_name from chunks),
         s as (select document_name, chunk_id, coalesce(list(canonical_id) filter (where canonical_id is not null), []) as ids from k left join c using (chunk_id) group by 1, 2), l as (select *, lag(ids) over (partition by document_name order by chunk_id) as b from s)

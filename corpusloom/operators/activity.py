@@ -47,7 +47,11 @@ def deliveries(messages: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """
     m = messages.groupBy("topic", "sender").agg(F.count(F.lit(1)).alias("n"))
     s = subscriptions.distinct()
-    out = m.join(s, "topic", "left").groupBy("topic", "sender", "n").agg(F.count_if(F.col("subscriber") != F.col("sender")).alias("to"))
+    held = s.groupBy("topic").agg(F.count(F.lit(1)).alias("all"))
+    own = s.select("topic", F.col("subscriber").alias("sender"), F.lit(1).alias("own"))
+    # senders never meet the subscribers one by one: a topic's number less the sender itself
+    out = m.join(held, "topic", "left").join(own, ["topic", "sender"], "left")
+    out = out.withColumn("to", F.coalesce("all", F.lit(0)) - F.coalesce("own", F.lit(0)))
     return out.groupBy("topic").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("to")).alias("delivered"), F.sum(F.when(F.col("to") == 0, F.col("n")).otherwise(0)).alias("dropped"))
 
 
@@ -63,3 +67,44 @@ def entropy(df: DataFrame, part: str, label: str) -> DataFrame:
     c = df.groupBy(part, label).agg(F.count(F.lit(1)).alias("n"))
     t = c.groupBy(part).agg(F.sum("n").alias("all"), F.sum(F.col("n") * F.log2("n")).alias("nlog"))
     return t.select(part, "all", F.round(F.least(F.lit(1.0), (F.log2("all") - F.col("nlog") / F.col("all")) / 2), 6).alias("diversity"))
+
+
+def cache_kept(accesses: DataFrame, key: str, most: int, days: int) -> DataFrame:
+    """(key, last_access, hits, rank): what a cache of ``most`` entries with a life of ``days`` holds.
+
+    The time is that of the last access. The oldest entries go first; ties stay by key.
+    """
+    now = accesses.agg(F.max("ts").alias("now"))
+    u = accesses.groupBy(key).agg(F.max("ts").alias("last_access"), F.count(F.lit(1)).alias("hits"))
+    alive = u.crossJoin(F.broadcast(now)).where(F.col("last_access") >= F.col("now") - F.make_dt_interval(F.lit(days)))
+    top = alive.orderBy(F.col("last_access").desc(), key).limit(most).drop("now")
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.col("last_access").desc(), key)))
+
+
+def cache_stats(accesses: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """(by, entries, hits, hit_rate): every access to a key after the first is a hit."""
+    k = accesses.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    hits = F.sum("n") - F.count(F.lit(1))
+    return k.groupBy(by).agg(F.count(F.lit(1)).alias("entries"), hits.alias("hits"), F.round(hits / F.sum("n"), 6).alias("hit_rate"))
+
+
+def slow_by(events: DataFrame, by: str, last: int = 100, above: float = 50.0) -> DataFrame:
+    """The report of ``slow`` for each value of a column among the ``last`` events."""
+    x = events.orderBy(F.col("ts").desc(), F.col("event_id").desc()).limit(last)
+    return x.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") > above).alias("slow"), F.round(F.avg("value"), 6).alias("mean"), F.round(F.max("value"), 6).alias("most"))
+
+
+def messages(events: DataFrame, topic: str | None = None, sender: int | None = None, since: str | None = None, until: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of the messages that meet all conditions given, the newest first."""
+    x = events
+    for test, value in ((lambda v: F.col("event_type") == v, topic), (lambda v: F.col("user_id") == v, sender), (lambda v: F.col("ts") >= F.lit(v).cast("timestamp_ntz"), since), (lambda v: F.col("ts") < F.lit(v).cast("timestamp_ntz"), until)):
+        x = x if value is None else x.where(test(value))
+    return x.orderBy(F.col("ts").desc(), F.col("event_id").desc()).offset(offset).limit(limit)
+
+
+def bars(state: DataFrame, part: str, value: str, key: str, most: int) -> DataFrame:
+    """(part, bars, mean, strong, medium, weak) over the ``most`` highest values of each part."""
+    rank = F.row_number().over(Window.partitionBy(part).orderBy(F.col(value).desc(), key))
+    x = state.withColumn("_i", rank).where(F.col("_i") <= most)
+    v = F.col(value)
+    return x.groupBy(part).agg(F.count(F.lit(1)).alias("bars"), F.round(F.avg(v), 6).alias("mean"), F.count_if(v >= 0.7).alias("strong"), F.count_if((v >= 0.4) & (v < 0.7)).alias("medium"), F.count_if(v < 0.4).alias("weak"))

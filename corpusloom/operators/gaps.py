@@ -105,3 +105,103 @@ def reconcile(stored: DataFrame, found: DataFrame) -> DataFrame:
     status = F.when(F.col("old").isNull(), "open").when(gone, "obsolete").when(F.col("now") & (F.col("old") == "obsolete"), "open").otherwise(F.col("old"))
     action = F.when(F.col("old").isNull(), "inserted").when(gone, "obsoleted").when(F.col("now") & (F.col("old") == "obsolete"), "reopened").when(F.col("now"), "refreshed").otherwise("kept")
     return x.select("gap_id", status.alias("status"), action.alias("action"))
+
+
+#: Statuses a stored gap can have.
+STATUSES = ("open", "ignored", "supplemented", "obsolete")
+
+
+def listed(stored: DataFrame, status: str | None = "open", missing: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:
+    """One page of stored gaps, the last changed first (paging is the feature, 200 rows at most)."""
+    x = stored if status is None else stored.where(F.col("status") == status)
+    x = x if missing is None else x.where(F.array_contains("missing", missing))
+    return x.orderBy(F.col("updated_at").desc_nulls_last(), "gap_id").offset(max(0, offset)).limit(max(1, min(limit, 200)))
+
+
+def by_status(stored: DataFrame) -> DataFrame:
+    """(status, n) of stored gaps, zero for a status that none has."""
+    n = stored.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    spine = stored.sparkSession.createDataFrame([(x,) for x in STATUSES], "status string")
+    return spine.join(n, "status", "left").select("status", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def imported(stored: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Stored gaps after an import that makes none obsolete: (gap_id, status, version, action).
+
+    New ids are created as open, known ones refreshed with a higher version, obsolete ones
+    reopened; the others are kept. ``stored`` has gap_id, status and version.
+    """
+    new = candidates.select("gap_id").where("gap_id is not null").distinct().withColumn("now", F.lit(True))
+    x = stored.select("gap_id", F.col("status").alias("old"), "version").join(new, "gap_id", "full_outer")
+    fresh, hit = F.col("old").isNull(), F.coalesce("now", F.lit(False))
+    action = F.when(fresh, "created").when(hit & (F.col("old") == "obsolete"), "reopened").when(hit, "refreshed").otherwise("kept")
+    status = F.when(fresh | (hit & (F.col("old") == "obsolete")), "open").otherwise(F.col("old"))
+    version = F.when(fresh, 1).when(hit, F.col("version") + 1).otherwise(F.col("version"))
+    return x.select("gap_id", status.alias("status"), version.cast("bigint").alias("version"), action.alias("action"))
+
+
+def moved(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gap_id, outcome, status, version) of wanted changes of status.
+
+    ``wanted`` has gap_id, old, new and expected (a version); of several for a gap the
+    smallest is taken. A change is done if the gap is in ``old`` with the expected version,
+    which then rises; else it is a conflict, or not_found. Changes are checked against the
+    stored state only, so they don't depend on their order.
+    """
+    one = wanted.groupBy("gap_id").agg(F.min(F.struct("old", "new", "expected")).alias("w")).select("gap_id", "w.*")
+    x = one.join(stored.select("gap_id", "status", "version"), "gap_id", "left")
+    done = (F.col("status") == F.col("old")) & (F.col("version") == F.col("expected"))
+    outcome = F.when(F.col("status").isNull(), "not_found").when(done, "done").otherwise("conflict")
+    return x.select("gap_id", outcome.alias("outcome"), F.when(done, F.col("new")).otherwise(F.col("status")).alias("status"), F.when(done, F.col("version") + 1).otherwise(F.col("version")).cast("bigint").alias("version"))
+
+
+def supplemented(edges: DataFrame, fills: DataFrame) -> DataFrame:
+    """Edges after gaps are filled: the skipping edge goes, a chain through the new nodes comes.
+
+    ``fills`` has src, dst, nodes (one for each missing type) and replacement (one relation
+    more). A fill whose lengths don't match or that holds a blank or an end of its own is left
+    out. Edges that are there already aren't doubled.
+    """
+    fit = (F.size("replacement") == F.size("nodes") + 1) & (F.size("nodes") > 0) & F.forall("nodes", lambda n: n.isNotNull() & (n != "") & (n != F.col("src")) & (n != F.col("dst")))
+    good = fills.where(fit).select("src", "dst", "nodes", "replacement").distinct()
+    stops = F.concat(F.array("src"), "nodes", F.array("dst"))
+    chain = good.select(stops.alias("s"), F.posexplode("replacement").alias("i", "rel")).select(F.get("s", F.col("i")).alias("src"), F.get("s", F.col("i") + 1).alias("dst"), "rel").distinct()
+    kept = edges.select("src", "dst", "rel").distinct().join(good.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+    return kept.unionByName(chain).distinct()
+
+
+def migrated(edges: DataFrame, types: DataFrame, mark: str, kind: Column, p: Paradigm) -> DataFrame:
+    """(node, src, dst, missing, replacement, confidence, outcome) of placeholder nodes.
+
+    A placeholder (its id holds ``mark``; ``kind`` tells its type from the column node) with
+    one real edge in and one out becomes a gap between their ends, with the smaller
+    confidence (0.5 where none is known); natural if a real node of the type does the same
+    already; skipped if it has other edges or no type.
+    """
+    real = lambda c: ~F.col(c).contains(mark)
+    side = lambda own, far: edges.where(F.col(own).contains(mark) & real(far)).select(F.col(own).alias("node"), F.struct(F.col(far).alias("at"), "rel", F.coalesce("confidence", F.lit(0.5)).alias("c")).alias("e"))
+    ins = side("dst", "src").groupBy("node").agg(F.count(F.lit(1)).alias("n_in"), F.min("e").alias("i"))
+    outs = side("src", "dst").groupBy("node").agg(F.count(F.lit(1)).alias("n_out"), F.min("e").alias("o"))
+    every = edges.select(F.explode(F.array("src", "dst")).alias("node")).where(F.col("node").contains(mark)).distinct()
+    x = every.join(ins, "node", "left").join(outs, "node", "left").withColumn("kind", kind)
+    fit = (F.col("n_in") == 1) & (F.col("n_out") == 1) & (F.coalesce("kind", F.lit("")) != "") & (F.col("i.at") != F.col("o.at"))
+    x = x.withColumn("fit", F.coalesce(fit, F.lit(False)))
+    t = types.groupBy("node").agg(F.min("type").alias("mid_type")).withColumnRenamed("node", "mid")
+    e = edges.where(real("src") & real("dst")).select("src", "dst").distinct()
+    two = x.where("fit").select("node", "kind", F.col("i.at").alias("src"), F.col("o.at").alias("dst"))
+    two = two.join(e.select("src", F.col("dst").alias("mid")), "src").join(e.select(F.col("src").alias("mid"), "dst"), ["mid", "dst"]).join(t, "mid").where("mid_type = kind")
+    x = x.join(two.select("node").distinct().withColumn("natural", F.lit(True)), "node", "left")
+    outcome = F.when(~F.col("fit"), "skipped").when(F.col("natural"), "natural").otherwise("gap")
+    own = lambda c: F.when(F.col("fit"), c)
+    return x.select("node", own(F.col("i.at")).alias("src"), own(F.col("o.at")).alias("dst"), own(F.col("kind")).alias("missing"), own(F.concat_ws(",", "i.rel", "o.rel")).alias("replacement"), own(F.least("i.c", "o.c")).alias("confidence"), outcome.alias("outcome"))
+
+
+def search_queries(source: Column, target: Column, source_aliases: Column, target_aliases: Column, missing: Column) -> Column:
+    """Up to five distinct queries for what a gap lacks, from names, two aliases and types."""
+    tidy = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    some = lambda a: F.array_distinct(F.filter(a, lambda v: v != ""))
+    terms = lambda name, al: some(F.concat(F.transform(F.slice(F.coalesce(al, F.array().cast("array<string>")), 1, 2), tidy), F.array(tidy(name))))
+    s, t, m = terms(source, source_aliases), terms(target, target_aliases), some(F.transform(missing, tidy))
+    last = F.slice(s, F.greatest(F.size(s), F.lit(1)), F.lit(1))
+    every = F.array(F.array_join(F.concat(F.slice(s, 1, 2), m, F.slice(t, 1, 2)), " "), F.array_join(F.concat(F.slice(s, 1, 1), F.slice(t, 1, 1)), " "), F.array_join(F.concat(last, m), " "))
+    return F.slice(some(F.transform(every, lambda q: F.substring(q, 1, 300))), 1, 5)

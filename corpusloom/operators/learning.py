@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from corpusloom.functions import irt
-from corpusloom.plans.lineage import cut
+from corpusloom.plans.lineage import shared_folder
 
 
 def _clip(p: Column) -> Column:
@@ -76,10 +77,14 @@ def folded(answers: DataFrame, *keys: str, rounded: bool = False, block: int = B
     cold = rows.alias("r").join(few.alias("f"), same, "left_anti")
     parts = -(-sum(r.n for r in found) // block)
     spread = rows.alias("r").join(few.alias("f"), same, "left_semi").repartitionByRange(parts, *keys, "answered_at", "answer_id")
-    sorted_ = cut(spread.sortWithinPartitions(*keys, "answered_at", "answer_id").withColumn("part", F.spark_partition_id()))
+    # a folder for each partition, so that a step reads its own rows only
+    folder = f"{shared_folder(answers.sparkSession)}/fold-{uuid.uuid4().hex}"
+    spread.withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(folder)
+    spark = answers.sparkSession
+    found_parts = sorted(int(p.rpartition("=")[2]) for p in _folders(spark, folder))
     state: dict[tuple, tuple[float, int, int, int]] = {}
     schema = T.StructType([*rows.select(*keys).schema.fields, *T._parse_datatype_string("theta double, n bigint, correct bigint, streak bigint").fields])
-    for i in range(sorted_.rdd.getNumPartitions()):
+    for i in found_parts:
         before = dict(state)
 
         def run(batches: Iterator[pd.DataFrame], before: dict = before) -> Iterator[pd.DataFrame]:
@@ -91,12 +96,19 @@ def folded(answers: DataFrame, *keys: str, rounded: bool = False, block: int = B
             if own:
                 yield pd.DataFrame([(*k, *v) for k, v in own.items()], columns=[f.name for f in schema.fields])
 
-        for r in sorted_.where(F.col("part") == i).mapInPandas(run, schema).collect():
+        own = spark.read.schema(rows.schema).parquet(f"{folder}/part={i}").coalesce(1).sortWithinPartitions(*keys, "answered_at", "answer_id")
+        for r in own.mapInPandas(run, schema).collect():
             state[tuple(r[k] for k in keys)] = (r.theta, r.n, r.correct, r.streak)
     done = answers.sparkSession.createDataFrame([(*k, *v) for k, v in state.items()], schema)
     return _fold_arrays(cold, keys, rounded).unionByName(done)
 
 
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    """The folders of a partitioned table."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.isDirectory()]
+
+
 def _stepped(s: tuple[float, int, int, int], ok: int, rounded: bool) -> tuple[float, int, int, int]:
     theta, n, correct, streak = s
     theta = max(irt.LOW, min(irt.HIGH, theta + irt.RATE * (ok - (irt.GUESS + (1 - irt.GUESS) / (1 + math.exp(-theta))))))

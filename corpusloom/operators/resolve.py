@@ -1,8 +1,9 @@
 """Entity resolution of concept mentions: profiles, pair classes, canonical concepts.
 
 The pairwise comparison is blocked: explicit aliases, equal bases and containment are found
-by equi-joins on normalised names and on their rarest grams. Pairs that only likeness of
-vectors would join are not searched for. No step compares all pairs.
+by equi-joins on normalised names and on their rarest grams; pairs that only likeness of
+vectors joins come from ``linker.alike``, behind a bound that follows from its threshold. No
+step compares all pairs.
 """
 
 from __future__ import annotations
@@ -136,6 +137,12 @@ def classify(pairs: DataFrame, p: DataFrame, similarity: Column | None = None) -
     return out
 
 
+def classify_alike(pairs: DataFrame, alike: DataFrame, p: DataFrame) -> DataFrame:
+    """``classify`` with likeness: ``alike`` has l, r (l < r in norm) and score, and adds pairs."""
+    every = pairs.select("l", "r").unionByName(alike.select("l", "r")).distinct()
+    return classify(every.join(alike, ["l", "r"], "left"), p, F.coalesce("score", F.lit(0.0)))
+
+
 def canonical_names(classified: DataFrame, p: DataFrame) -> DataFrame:
     """(name, canonical): merge closure of SAME_AS pairs with an automatic merge.
 
@@ -155,7 +162,7 @@ def canonical_names(classified: DataFrame, p: DataFrame) -> DataFrame:
 def canonical_concepts(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """(canonical_id, name, concept_type, description, parent_hint, n_mentions, source_chunks).
 
-    ``mentions`` has name, concept_type, description, parent_hint and source_chunk; the type
+    ``mentions`` has name, concept_type, description, parent_hint and source_chunks; the type
     and hint are the most frequent (then smallest), the description the longest.
     """
     m = mentions.join(names, "name")
@@ -164,7 +171,7 @@ def canonical_concepts(mentions: DataFrame, names: DataFrame) -> DataFrame:
         c = m.where(f"{col} <> ''").groupBy("canonical", col).agg(F.count(F.lit(1)).alias("n"))
         return c.groupBy("canonical").agg(F.min_by(col, F.struct(-F.col("n"), col)).alias(col))
 
-    rest = m.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_mentions"), F.min_by("description", F.struct(-F.length("description"), "description")).alias("description"), F.array_sort(F.collect_set("source_chunk")).alias("source_chunks"))
+    rest = m.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_mentions"), F.min_by("description", F.struct(-F.length("description"), "description")).alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunks")))).alias("source_chunks"))
     out = rest.join(most("concept_type"), "canonical", "left").join(most("parent_hint"), "canonical", "left")
     cid = F.concat(F.lit("concept_canonical_"), F.substring(F.md5(F.col("canonical").cast("binary")), 1, 10))
     return out.select(cid.alias("canonical_id"), F.col("canonical").alias("name"), "concept_type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("parent_hint", F.lit("")).alias("parent_hint"), "n_mentions", "source_chunks")

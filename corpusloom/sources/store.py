@@ -27,7 +27,7 @@ def where_matching(df: DataFrame, **conditions: object) -> DataFrame:
     return df
 
 
-def page(df: DataFrame, order: list[str], limit: int, offset: int = 0) -> DataFrame:
+def page(df: DataFrame, order: list[str | Column], limit: int, offset: int = 0) -> DataFrame:
     """One page of an ordered scan."""
     return df.orderBy(*order).offset(offset).limit(limit)
 

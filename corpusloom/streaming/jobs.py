@@ -11,6 +11,7 @@ import math
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from corpusloom.plans.lineage import shared_folder
 
 LATE = "2 hours"
+#: Minutes without a message after which a dialog ends.
+SILENT = 30
 
 
 def read_events(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
@@ -48,6 +51,60 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
     return events.withWatermark("ts", LATE).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
 
 
+def still_open(events: DataFrame, closed: DataFrame, gap: str = "30 minutes") -> DataFrame:
+    """Sessions that a stream ended before the watermark closed them.
+
+    ``events`` is what the stream has read, as a batch, ``closed`` what it wrote. A user's open
+    events are those after the end of their last closed session.
+    """
+    last = closed.groupBy("user_id").agg(F.max("ended").alias("until"))
+    rest = events.join(last, "user_id", "left").where("until is null or ts > until")
+    return rest.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("w.start").alias("began"), F.col("w.end").alias("ended"), "n")
+
+
+def budgets(events: DataFrame, most: float) -> DataFrame:
+    """Spending of each month and how much of a budget it has used: 0, 80 or 100 percent."""
+    total = F.sum("value")
+    level = F.when(total >= most, 100).when(total >= 0.8 * most, 80).otherwise(0)
+    return events.groupBy(F.date_format("ts", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("n"), F.round(total, 4).alias("total"), level.alias("level"))
+
+
+def _dialog(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    out = []
+    topic, began, last, n = state.get if state.exists else ("", 0, 0, 0)
+    limit = SILENT * 60 * 1_000_000
+    if state.hasTimedOut:
+        out.append((key[0], topic, began, last, n, "expired"))
+        state.remove()
+    else:
+        for pdf in batches:  # a batch at a time; the stream brings a user's events in time order
+            for at, _, what in sorted(zip(pdf["at"], pdf["event_id"], pdf["topic"])):
+                if n and at - last > limit:
+                    out.append((key[0], topic, began, last, n, "expired"))
+                    n = 0
+                elif n and what != topic:
+                    out.append((key[0], topic, began, last, n, "suspended"))
+                    n = 0
+                topic, began, last, n = what, began if n else at, at, n + 1
+        state.update((topic, began, last, n))
+        state.setTimeoutTimestamp(max(last // 1000 + SILENT * 60 * 1000, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(out, columns=["user_id", "topic", "began", "ended", "n", "why"])
+
+
+def dialogs(events: DataFrame) -> DataFrame:
+    """Dialogs of a user about one topic: (user_id, topic, began, ended, n, why).
+
+    A dialog is suspended when the user turns to another topic, and expires after ``SILENT``
+    minutes without a message, when its state is dropped. ``events`` has user_id, ts,
+    event_id and topic; began and ended are microseconds. Dialogs that are still open when a
+    stream is stopped stay in its state.
+    """
+    kind = dict(events.dtypes)["user_id"]
+    x = events.withWatermark("ts", LATE).withColumn("at", F.unix_micros("ts"))
+    schema = f"user_id {kind}, topic string, began bigint, ended bigint, n bigint, why string"
+    return x.groupBy("user_id").applyInPandasWithState(_dialog, schema, "topic string, began bigint, last bigint, n bigint", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def deduplicated(events: DataFrame) -> DataFrame:
     """Events once each, within the watermark."""
     return events.withWatermark("ts", LATE).dropDuplicatesWithinWatermark(["event_id"])
@@ -60,8 +117,10 @@ def delivered(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
 
 def _fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     theta, n, streak = state.get if state.exists else (0.0, 0, 0)
-    rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-    for ok in rows["correct"]:
+    # only what the fold needs is held: time, id and outcome of a user's answers in this batch
+    held = [np.rec.fromarrays([b["ts"].astype("int64"), b["event_id"], b["correct"].astype(bool)], names="ts,id,ok") for b in batches]
+    rows = np.sort(np.concatenate(held), order=["ts", "id"])
+    for ok in rows["ok"]:
         p = 0.25 + 0.75 / (1 + math.exp(-theta))
         theta = max(-3.0, min(3.0, theta + 0.3 * (float(ok) - p)))
         streak = (streak + 1 if streak >= 0 else 1) if ok else (streak - 1 if streak <= 0 else -1)
