@@ -39,7 +39,7 @@ def overlaid(rows: DataFrame, details: DataFrame, key: str) -> DataFrame:
 
 def read_map(spark: SparkSession, path: str) -> DataFrame:
     """(key, value) of a JSON object of strings or numbers in a file, as of name or score maps."""
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     return raw.select(F.explode(F.from_json("value", "map<string,string>")).alias("key", "value"))
 
 
@@ -48,7 +48,7 @@ def read_answers(spark: SparkSession, path: str) -> DataFrame:
 
     A question beyond the last answer has an empty one.
     """
-    raw = spark.read.option("wholetext", True).text(path)
+    raw = spark.read.text(path, wholetext=True)
     both = raw.select(F.from_json("value", "questions array<string>, answers array<string>").alias("b")).select("b.*")
     x = both.select(F.posexplode("questions").alias("pos", "question"), "answers")
     return x.select("pos", "question", F.coalesce(F.get("answers", F.col("pos")), F.lit("")).alias("answer"))
