@@ -7,6 +7,10 @@ a node picks one or two minwise positions (1 / threshold on average), and a reco
 the child named by its token there. Nodes of at most ``leaf`` records are compared
 exhaustively, by sketches first; candidates are verified exactly.
 
+Trees are repeated to a target recall. A pair at the threshold stays together in half of the
+trees down to level ``HOT_LEVEL``, so ``TREES`` are enough for records whose nodes are small
+by then. Records of nodes that go deeper, where fewer trees keep a pair, get ``MORE_TREES``.
+
 Spark plan: exact copies (equal bare form) are collapsed with a map-side combined aggregate
 before anything else. Branching is a narrow chain of expressions; what is shuffled to find
 oversized nodes is one counter per node, and only those nodes branch on. The compared rows
@@ -27,6 +31,8 @@ from corpusloom.llm.components import connected_groups
 from corpusloom.llm.pairs import expanded, pairs_within
 from corpusloom.plans.lineage import cut
 
+#: Trees of every record, and more of those in nodes that branch on from ``HOT_LEVEL``.
+TREES, MORE_TREES, HOT_LEVEL = 12, 10, 4
 #: Minwise positions of each tree.
 COORDS = 32
 SKETCH = 128
@@ -64,10 +70,12 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def embed_batches(trees: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(rep, bare) to (rep, sig, s0, s1): minwise tokens of all trees and a 1-bit minwise sketch."""
-    coords = trees * COORDS
-    a, b = _hashes(coords + SKETCH)
+def embed_batches(first: int, last: int, trees: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(rep, bare) to (rep, sig, s0, s1): minwise tokens of trees [first, last) of ``trees``, and a 1-bit minwise sketch."""
+    coords = (last - first) * COORDS
+    a, b = _hashes(trees * COORDS + SKETCH)
+    own = np.r_[first * COORDS : last * COORDS, trees * COORDS : trees * COORDS + SKETCH]
+    a, b = a[own], b[own]
     step = 16
     for batch in batches:
         reps, sigs, sk = [], [], []
@@ -164,22 +172,18 @@ def _with_nodes(rows: DataFrame, nodes: DataFrame, n: int, how: str) -> DataFram
     return rows.join(F.broadcast(nodes) if n <= BROADCAST_NODES else nodes, "node", how)
 
 
-def similar_sets(reps: DataFrame, threshold: float = 0.7, trees: int = 22, leaf: int = 256, start: int = 2, depth: int = 9) -> DataFrame:
-    """Pairs (a, b), a < b, of representatives whose 4-gram sets have Jaccard >= threshold.
+_SLIM = ("node", "block", "other", "s0", "s1", "rep")
 
-    ``reps`` has rep (unique id) and bare (text). Every tree has minwise positions of its own,
-    so trees are independent. A pair at the threshold has one common child a node on average,
-    so its share of trees in which it stays together falls with depth: 0.66 at 2, 0.50 at 4,
-    0.32 at 9. With 22 trees at most 0.683^22 = 0.02% of such pairs are lost by branching,
-    at the last level too, and 0.05% by the sketches; a pair that is found is exact. Texts of fewer than four characters have no set and no pair.
-    """
-    sets = cut(reps.select("rep", "bare").mapInArrow(lambda it: embed_batches(trees, it), "rep string, sig array<smallint>, s0 bigint, s1 bigint"))
-    roots = F.array(*[F.struct(F.xxhash64(F.lit("tree"), F.lit(k)).alias("node"), F.slice("sig", k * COORDS + 1, COORDS).alias("sig")) for k in range(trees)])
+
+def _grown(sets: DataFrame, first: int, last: int, threshold: float, leaf: int, start: int, depth: int) -> tuple[DataFrame, DataFrame | None]:
+    """Rows to compare of trees [first, last), and the records in nodes that branched on from ``HOT_LEVEL``."""
+    roots = F.array(*[F.struct(F.xxhash64(F.lit("tree"), F.lit(k)).alias("node"), F.slice("sig", (k - first) * COORDS + 1, COORDS).alias("sig")) for k in range(first, last)])
     frontier = sets.select(F.explode(roots).alias("root"), "rep", "s0", "s1").select("root.node", "rep", "root.sig", "s0", "s1")
     for _ in range(start):
         frontier = _branch(frontier, threshold)
     leaves: list[DataFrame] = []
     slim = [F.col("node"), F.lit(0).alias("block"), F.lit(0).alias("other"), F.col("s0"), F.col("s1"), F.col("rep")]
+    hot = None
     for level in range(start, depth + 1):
         sizes = frontier.groupBy("node").agg(F.count(F.lit(1)).alias("size"))
         big = cut(sizes.where(F.col("size") > leaf))
@@ -189,6 +193,8 @@ def similar_sets(reps: DataFrame, threshold: float = 0.7, trees: int = 22, leaf:
             break
         leaves.append(_with_nodes(frontier, big.select("node"), n, "left_anti").select(*slim))
         frontier = _with_nodes(frontier, big, n, "inner")
+        if level == max(start, min(HOT_LEVEL, depth)):
+            hot = frontier.select("rep").distinct()
         if level < depth:
             frontier = _branch(frontier, threshold)
             continue
@@ -201,6 +207,28 @@ def similar_sets(reps: DataFrame, threshold: float = 0.7, trees: int = 22, leaf:
     rows = leaves[0]
     for more in leaves[1:]:
         rows = rows.unionByName(more)
+    return rows.select(*_SLIM), hot
+
+
+def similar_sets(reps: DataFrame, threshold: float = 0.7, trees: int = TREES, more: int = MORE_TREES, leaf: int = 256, start: int = 2, depth: int = 9) -> DataFrame:
+    """Pairs (a, b), a < b, of representatives whose 4-gram sets have Jaccard >= threshold.
+
+    ``reps`` has rep (unique id) and bare (text). Every tree has minwise positions of its own,
+    so trees are independent. A pair at the threshold has one common child a node on average,
+    so its share of trees in which it stays together falls with depth: 0.66 at 2, 0.50 at 4,
+    0.32 at 9. With 12 trees at most 0.5^12 = 0.02% of such pairs are lost before level 4; a
+    pair whose records are in larger nodes there has 22, of which at most 0.683^22 = 0.02% lose
+    it at the last level, and 0.05% are lost by the sketches; a pair that is found is exact.
+    Texts of fewer than four characters have no set and no pair.
+    """
+    kind = "rep string, sig array<smallint>, s0 bigint, s1 bigint"
+    every = trees + more
+    texts = reps.select("rep", "bare")
+    sets = cut(texts.mapInArrow(lambda it: embed_batches(0, trees, every, it), kind))
+    rows, hot = _grown(sets, 0, trees, threshold, leaf, start, depth)
+    if hot is not None and more:
+        deep = cut(texts.join(hot, "rep", "left_semi").mapInArrow(lambda it: embed_batches(trees, every, every, it), kind))
+        rows = rows.unionByName(_grown(deep, trees, every, threshold, leaf, start, depth)[0])
     # sketch bits that may differ: those of the threshold and 3.3 standard deviations
     miss = (1 - threshold) / 2
     bits = int(SKETCH * miss + 3.3 * (SKETCH * miss * (1 - miss)) ** 0.5)
