@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -69,6 +73,40 @@ def vector_health(vectors: DataFrame, vector: str, label: str) -> DataFrame:
     return x.select("n", F.round("mean_norm", 6).alias("mean_norm"), F.round("std_norm", 6).alias("std_norm"), F.round("zero_share", 6).alias("zero_share"), F.round(F.col("in_dot") / F.col("in_pairs"), 6).alias("intra"), F.round(between, 6).alias("inter"))
 
 
+def explained_variance(vectors: DataFrame, vector: str, most: int) -> DataFrame:
+    """(axis, share): how much of the variance the largest principal axes explain.
+
+    Each partition adds its vectors up to one matrix of sums of products, and the matrices
+    are summed by entry; only one, of the vectors' dimension, comes to the driver. Null
+    vectors don't count; fewer than two give no row.
+    """
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(0).to_pylist(), dtype=float)
+                x = np.hstack([np.ones((len(x), 1)), x])
+                total = x.T @ x if total is None else total + x.T @ x
+        if total is not None:
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel()), pa.array(j.ravel()), pa.array(total.ravel())], names=["i", "j", "s"])
+
+    v = vectors.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("v"))
+    got = v.mapInArrow(summed, "i bigint, j bigint, s double").groupBy("i", "j").agg(F.sum("s").alias("s")).collect()
+    schema = "axis int, share double"
+    d = max((r.i for r in got), default=0)
+    m = np.zeros((d + 1, d + 1))
+    for r in got:
+        m[r.i, r.j] = r.s
+    if m[0, 0] < 2:
+        return vectors.sparkSession.createDataFrame([], schema)
+    mean = m[0, 1:] / m[0, 0]
+    values = np.linalg.eigvalsh(m[1:, 1:] / m[0, 0] - np.outer(mean, mean))[::-1].clip(0)
+    share = values / max(values.sum(), 1e-300)
+    return vectors.sparkSession.createDataFrame([(k + 1, round(float(x), 6)) for k, x in enumerate(share[:most])], schema)
+
+
 def sampled(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     """``n`` rows by the MD5 of key and seed: the same on any partitioning."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed)))).limit(n)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusloom.catalog import activity, concepts, evidence, graph, learning, lifecycle, linking, retrieval, sections, store, streams
+from corpusloom.catalog import activity, concepts, evidence, graph, learning, lifecycle, linking, retrieval, review, sections, store, streams
 from corpusloom.operators import hierarchy
 from corpusloom.sources.tables import table
 
@@ -22,7 +22,7 @@ def p5_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(table(spark, d, "concept_edges")).select("node_id", "descendant_id")
 
 
-AREAS = (evidence, retrieval, graph, learning, linking, store, streams, concepts, lifecycle, sections, activity)
+AREAS = (evidence, retrieval, graph, learning, linking, store, streams, concepts, lifecycle, sections, activity, review)
 
 QUERIES: dict[str, Query] = {"p5_found": p5_found, "p5_descendants": p5_descendants}
 
