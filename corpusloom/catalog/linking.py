@@ -56,9 +56,11 @@ def sample_deterministic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_quotes(spark: SparkSession, d: str) -> DataFrame:
-    """Concepts whose name stands in a chunk they come from."""
-    q = table(spark, d, "canonical_concepts").where("name is not null").select("canonical_id", "name", F.explode("source_chunks").alias("chunk")).distinct()
-    return K.quotes(q, table(spark, d, "chunks").dropDuplicates(["chunk_id"]), "chunk", "name").select("canonical_id", "chunk")
+    """Chunks whose last heading is quoted as it stands in the chunk above them."""
+    k = table(spark, d, "chunks").dropDuplicates(["chunk_id"])
+    last = F.element_at(F.split("heading_path", " > ", -1), -1)
+    q = k.where("parent_id is not null and heading_path is not null").select("chunk_id", F.col("parent_id").alias("chunk"), last.alias("quote"))
+    return K.quotes(q, k, "chunk", "quote").select("chunk_id", "chunk")
 
 
 def extraction_coverage(spark: SparkSession, d: str) -> DataFrame:
@@ -100,8 +102,8 @@ SQL = {
         select (select count(*) from n) as n, (select round(avg(norm), 6) from n) as mean_norm, (select round(stddev_pop(norm), 6) from n) as std_norm, (select round(avg((norm = 0)::int), 6) from n) as zero_share,
             (select round(avg(s), 6) from p where same) as intra, (select round(avg(s), 6) from p where not same) as inter""",
     "sample_deterministic": "select id from (select distinct id from question_bank) order by md5(id || '7') limit 20",
-    "evidence_quotes": f"""with {_K}, q as (select distinct canonical_id, name, chunk from (select canonical_id, name, unnest(source_chunks) as chunk from canonical_concepts) where name is not null)
-        select q.canonical_id, q.chunk from q join k on k.chunk_id = q.chunk where regexp_replace(name, '\\s+', '', 'g') <> '' and contains(lower(regexp_replace(k.text, '\\s+', '', 'g')), lower(regexp_replace(name, '\\s+', '', 'g')))""",
+    "evidence_quotes": """with k as (select distinct on (chunk_id) chunk_id, parent_id, heading_path, text from chunks), q as (select chunk_id, parent_id as chunk, lower(regexp_replace(string_split(heading_path, ' > ')[-1], '\\s+', '', 'g')) as quote from k where parent_id is not null and heading_path is not null)
+        select q.chunk_id, q.chunk from q join k on k.chunk_id = q.chunk where quote <> '' and contains(lower(regexp_replace(k.text, '\\s+', '', 'g')), quote)""",
     "extraction_coverage": f"""with {_K}, c as (select chunk_id, count(distinct canonical_id) as n from (select canonical_id, unnest(source_chunks) as chunk_id from canonical_concepts) group by 1),
         x as (select k.chunk_id, coalesce(n, 0) as n, length(trim(coalesce(text, ''), ' ')) as size from k left join c using (chunk_id)) select chunk_id, n, round(greatest(0.0, 1 - abs(n - case when size <= 500 then 3 when size <= 1500 then 5 else 7 end) * 0.15), 6)::double as score from x""",
     "gap_overlay": f"""with g as (select distinct src, dst, string_split(missing, ',') as m, string_split(replacement, ',') as r from ({CG.SQL['gap_linear']}) where outcome = 'gap'),

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.operators import retrieval as R
+from corpusloom.plans.sizes import small
 from corpusloom.sources.tables import table
 
 # DuckDB's words for the expressions of functions.text
@@ -57,7 +58,7 @@ def hybrid_topk(spark: SparkSession, d: str) -> DataFrame:
     bm = R.ranked(_bm25(spark, d), "query_id", "doc_id", 100)
     docs = table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
     q = _asked(spark, d).select("query_id", F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    share = docs.join(F.broadcast(q), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    share = docs.join(small(q), "term").groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     fused = R.rrf([bm, R.ranked(share, "query_id", "doc_id", 100)], "query_id", "doc_id").withColumn("score", F.round("score", 6))
     return R.ranked(fused, "query_id", "doc_id", 10)
 
@@ -148,7 +149,7 @@ def relevance_rank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def plain_texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.plain_text(F.col("text"), 1_000_000)).alias("digest"))
+    return table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(T.plain_text(F.col("text"))).alias("digest"))
 
 
 def intent_route(spark: SparkSession, d: str) -> DataFrame:
@@ -245,10 +246,10 @@ SQL = {
     "relevance_rank": f"""
         with c as (select distinct canonical_id, name, chunk_id from (select canonical_id, name, unnest(source_chunks) as chunk_id from canonical_concepts)),
         k as (select distinct on (chunk_id) chunk_id, coalesce(heading_path, '') as heading, text from chunks),
-        x as (select canonical_id, chunk_id, {_REL.format(t="lower(" + _PLAIN.format(t="name", n=12000) + ")")} as q, {_REL.format(t="lower(" + _PLAIN.format(t="heading", n=12000) + ")")} as a, {_REL.format(t="lower(" + _PLAIN.format(t="text", n=12000) + ")")} as b from c join k using (chunk_id)),
+        x as (select canonical_id, chunk_id, {_REL.format(t="lower(" + _PLAIN.format(t="name", n=2**31 - 1) + ")")} as q, {_REL.format(t="lower(" + _PLAIN.format(t="heading", n=2**31 - 1) + ")")} as a, {_REL.format(t="lower(" + _PLAIN.format(t="text", n=2**31 - 1) + ")")} as b from c join k using (chunk_id)),
         s as (select canonical_id, chunk_id, case when len(q) = 0 then 0.0 else round(least(1.0, len(list_intersect(q, a)) / greatest(1, least(len(q), 10)) * 0.72 + len(list_intersect(q, b)) / greatest(1, least(len(q), 14)) * 0.28), 4) end as score from x)
         select *, case when score >= 0.42 then 'high' when score >= 0.18 then 'medium' else 'low' end as level from s""",
-    "plain_texts": f"select doc_id, md5({_PLAIN.format(t='text', n=1000000)}) as digest from documents where text is not null",
+    "plain_texts": f"select doc_id, md5({_PLAIN.format(t='text', n=2**31 - 1)}) as digest from documents where text is not null",
     "intent_route": f"select {_INTENT} as intent, count(*) as n from (select lower(coalesce(text, '')) as t from documents) group by 1",
     "query_rewrite": f"""
         with q as (select distinct topic from question_bank where topic is not null), v as (select topic, {_variants()} as grown from q),

@@ -64,7 +64,7 @@ def keywords(text: Column) -> Column:
 
 def relevance_terms(text: Column) -> Column:
     """Distinct Latin/digit words of two or more, and bigrams of ideographs."""
-    low = F.lower(plain_text(text, 12000))
+    low = F.lower(plain_text(text, None))
     latin = F.regexp_extract_all(low, F.lit(r"([a-z0-9]{2,})"), 1)
     runs = F.regexp_extract_all(low, F.lit(r"([\x{4E00}-\x{9FFF}]{2,})"), 1)
     return F.array_distinct(F.concat(latin, F.flatten(F.transform(runs, lambda r: F.regexp_extract_all(r, F.lit("(?=(..))"), 1)))))
@@ -78,12 +78,13 @@ def relevance(query: Column, title: Column, abstract: Column) -> Column:
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), share(title, 10) * 0.72 + share(abstract, 14) * 0.28))
 
 
-def plain_text(text: Column, limit: int = 6000) -> Column:
-    """Tags to spaces, the usual entities to characters, white space collapsed, capped."""
+def plain_text(text: Column, limit: int | None = None) -> Column:
+    """Tags to spaces, the usual entities to characters, white space collapsed; ``limit`` cuts it off."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", " ")
     for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(char))
-    return F.substring(F.trim(F.regexp_replace(t, r"\s+", " ")), 1, limit)
+    t = F.trim(F.regexp_replace(t, r"\s+", " "))
+    return t if limit is None else F.substring(t, 1, limit)
 
 
 def intent(text: Column) -> Column:

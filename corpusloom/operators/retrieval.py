@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 from corpusloom.functions import text as T
 from corpusloom.functions import vectors as V
 from corpusloom.plans.lineage import cut
-from corpusloom.plans.sizes import is_small, small
+from corpusloom.plans.sizes import is_small
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
+#: Queries of a block, which every worker holds.
+QUERY_BLOCK = 10_000
 
 
 def term_counts(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,10 +59,17 @@ def ranked(scores: DataFrame, query: str, key: str, k: int, score: str = "score"
 def vector_scores(vectors: DataFrame, queries: DataFrame, key: str = "vec_id", query_key: str = "query_id", vector: str = "embedding") -> DataFrame:
     """(query, key, score): cosine of every query with every vector, the query set in blocks.
 
-    The query side is broadcast when its checked size allows; each vector is read once.
+    The queries are a stated set. Blocks of about ``QUERY_BLOCK`` of them are broadcast, and the
+    vectors are read once for each block.
     """
-    q = small(queries.select(F.col(query_key), F.col(vector).alias("qv")), 20_000)
-    return vectors.select(key, vector).crossJoin(q).select(query_key, key, V.cosine(F.col(vector), F.col("qv")).alias("score"))
+    q = queries.select(F.col(query_key), F.col(vector).alias("qv"))
+    n = max(1, -(-q.count() // QUERY_BLOCK))
+    out = None
+    for k in range(n):
+        own = q if n == 1 else q.where(F.pmod(F.xxhash64(query_key), F.lit(n)) == k)
+        s = vectors.select(key, vector).crossJoin(F.broadcast(own)).select(query_key, key, V.cosine(F.col(vector), F.col("qv")).alias("score"))
+        out = s if out is None else out.unionByName(s)
+    return out
 
 
 def rrf(rankings: list[DataFrame], query: str, key: str, k: int = 60) -> DataFrame:
