@@ -60,8 +60,9 @@ def grams(bare: str) -> np.ndarray:
 
 
 def _hashes(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Multipliers and summands of 32 bits, which are multiplied some at a time where 64 bits aren't."""
     r = np.random.default_rng(20240229)
-    return r.integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1), r.integers(0, 2**63, n, dtype=np.uint64)
+    return r.integers(1, 2**32, n, dtype=np.uint32) | np.uint32(1), r.integers(0, 2**32, n, dtype=np.uint32)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -83,12 +84,12 @@ def embed_batches(first: int, last: int, trees: int, batches: Iterator[pa.Record
             g = grams(bare)
             if not len(g):
                 continue
-            g = _mix(g)
-            low = np.full(coords + SKETCH, np.uint64(2**64 - 1))
+            g = (_mix(g) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            low = np.full(len(a), np.uint32(2**32 - 1))
             for i in range(0, len(g), step * 16):
                 part = g[i : i + step * 16]
                 low = np.minimum(low, (part[None, :] * a[:, None] + b[:, None]).min(axis=1))
-            low = _mix(low)
+            low = _mix(low.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             reps.append(rep)
             sigs.append((low[:coords] & np.uint64(0x7FFF)).astype(np.int16))
             sk.append(np.packbits((low[coords:] & np.uint64(1)).astype(np.uint8)).view(np.int64))
