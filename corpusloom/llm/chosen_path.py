@@ -193,7 +193,8 @@ def _grown(sets: DataFrame, first: int, last: int, threshold: float, leaf: int,
             leaves.append(frontier.select(*slim))
             break
         leaves.append(_with_nodes(frontier, big.select("node"), n, "left_anti").select(*slim))
-        frontier = _with_nodes(frontier, big, n, "inner")
+        # kept, as the next level's counts, its leaves and its rows would each start from the roots
+        frontier = cut(_with_nodes(frontier, big, n, "inner"))
         if level == max(start, min(HOT_LEVEL, depth)):
             hot = frontier.select("rep").distinct()
         if level < depth:
