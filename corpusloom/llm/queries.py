@@ -78,9 +78,25 @@ def p9_redacted(spark: SparkSession, d: str) -> DataFrame:
     return pii.redact(table(spark, d, "documents").select("doc_id", "text"), table(spark, d, "roster"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_paragraphs, p3_found, p3_canonical, p3_classes, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps, p9_found, p9_redacted)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_groups, p2_found, p2_paragraphs, p3_found, p3_canonical, p3_classes, p4_found, p6_found, p6_pieces, p7_packed, p8_found, p8_overlaps,
+        p9_found, p9_redacted,
+    )
+}
 
 SQL: dict[str, str] = {
+    "p1_found": """
+        with q as (select distinct id, regexp_replace(lower(coalesce(question, '') || coalesce(options, '')), '[^\\p{L}\\p{N}]', '', 'g') as bare from question_bank where id is not null),
+        k as (select *, row_number() over () as k from q), g as (select distinct id, k, substr(bare, i, 4) as gram from (select *, unnest(range(1, length(bare) - 2)) as i from k)),
+        n as (select k, count(*) as n from g group by 1), j as (select a.id as x, b.id as y, a.k as kx, b.k as ky, count(*) as both_ from g a join g b on a.gram = b.gram and a.id < b.id group by 1, 2, 3, 4)
+        select distinct x as id_a, y as id_b from j join n s on s.k = kx join n t on t.k = ky where both_ >= 0.7 * (s.n + t.n - both_) - 1e-9""",
+    "p8_found": """
+        with d as (select doc_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') as b from documents where doc_id is not null), i as (select item_id, regexp_replace(lower(text), '[^\\p{L}\\p{N}]', '', 'g') as b from eval_items where item_id is not null),
+        ig as (select distinct item_id, substr(b, k, 50) as g from (select *, unnest(range(1, length(b) - 48)) as k from i)),
+        dc as (select doc_id, substr(b, p, 1049) as b from (select *, unnest(range(1, greatest(length(b), 1) + 1, 1000)) as p from d)), dg as (select doc_id, substr(b, k, 50) as g from (select *, unnest(range(1, length(b) - 48)) as k from dc))
+        select distinct doc_id, item_id from dg join ig using (g)""",
     "p4_found": """
         with recursive e as (
             select build_id, left_name as a, right_name as b from merge_candidates
