@@ -40,7 +40,7 @@ TRAIN_PAGES, TRAIN_WORDS = 900, 6000
 #: Words a list may have to be held by every worker; of a longer one each page gets its own.
 MAX_WORDS = 2_000_000
 #: Pages of a block, and pages it sees before and after it.
-BLOCK, AROUND = 256, 4
+BLOCK, AROUND = 64, 4
 Q = 2
 # Marks that a word broken at the end of a line carries.
 HYPHENS = "-¬\xad‐‑"
