@@ -6,7 +6,12 @@ reliable checkpoints. An undirected view has each edge in both directions, with
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,6 +21,8 @@ from corpusloom.plans.lineage import cut, release
 
 # Marks of placeholder nodes.
 VIRTUAL = "__virtual_"
+#: Links that one task merges in memory.
+LOCAL_LINKS = 1_000_000
 
 
 def edge_table(rows: DataFrame, src: str, dst: str, rel: str, confidence: str) -> DataFrame:
@@ -121,14 +128,52 @@ def pagerank(edges: DataFrame, nodes: DataFrame, iterations: int = 10, damping:
     return score.crossJoin(F.broadcast(most)).select("node", F.when(F.col("most") > 0, F.least(F.col("score") / F.col("most"), F.lit(1.0))).otherwise(F.col("score")).alias("score"))
 
 
+def _least(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number joined to each of ``n`` numbers by the links ``a`` - ``b``."""
+    low = np.arange(n)
+    while len(a):  # larger roots hook onto smaller ones: at least half of the joined roots go
+        np.minimum.at(low, np.maximum(a, b), np.minimum(a, b))
+        while not np.array_equal(up := low[low], low):
+            low = up
+        a, b = low[a], low[b]
+        a, b = a[a != b], b[a != b]
+    return low
+
+
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of the links of one partition."""
+    x = pa.Table.from_batches(batches) if (batches := [b for b in batches if b.num_rows]) else None
+    if x is None:
+        return
+    ends = pa.chunked_array(x.column(0).chunks + x.column(1).chunks).combine_chunks().cast("large_string").dictionary_encode()
+    names, code = ends.dictionary, ends.indices.to_numpy()
+    order = pc.sort_indices(names).to_numpy()
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    names, code = names.take(pa.array(order)), rank[code].astype(np.int64)
+    low = _least(code[: x.num_rows], code[x.num_rows :], len(names))
+    for i in range(0, len(names), 50_000):
+        yield pa.RecordBatch.from_arrays([names[i : i + 50_000].cast("string"), names.take(pa.array(low[i : i + 50_000])).cast("string")], names=["node", "component"])
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component): smallest node reachable, by hooking, shortcuts and contraction.
+    """(node, component): smallest node reachable, by disjoint sets, hooking and contraction.
 
-    Each round every label hooks onto the smallest label beside it, the chains that form are
-    halved until flat, and edges are contracted to labels; at most half of a component's
-    labels are left, so rounds are logarithmic and the edges shrink.
+    Up to ``LOCAL_LINKS`` links are merged in one task. More are spread over partitions of that
+    size, and only the links from nodes to the smallest of their sets there go on in rounds:
+    every label hooks onto the smallest label beside it, the chains that form are halved until
+    flat, and edges are contracted to labels; at most half of a component's labels are left,
+    so rounds are logarithmic and the edges shrink. Null ends join nothing.
     """
-    links = cut(undirected(edges).distinct())
+    e = edges.select(F.coalesce("src", "dst").cast("string").alias("src"), F.coalesce("dst", "src").cast("string").alias("dst")).where("src is not null")
+    e = cut(e.distinct())
+    n = e.count()
+    parts = e.coalesce(1) if n <= LOCAL_LINKS else e.repartition(-(-n // LOCAL_LINKS), "src")
+    found = cut(parts.mapInArrow(_merged, "node string, component string"))
+    release(e)
+    if n <= LOCAL_LINKS:
+        return found
+    links = cut(undirected(found.toDF("src", "dst")).distinct())
     label = cut(links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
     links = links.where("a <> b")
     while True:

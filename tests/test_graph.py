@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from corpusloom.operators import gaps as GP
@@ -94,3 +96,23 @@ def test_strong_components_and_refused_edges(spark):
                 kept.add((a, b, w))
                 after.setdefault(a, []).append(b)
         assert {tuple(x) for x in G.acyclic(df, ["w"]).select("src", "dst", "w").collect()} == kept
+
+
+def test_components_need_few_jobs(spark, monkeypatch):
+    r = random.Random(11)
+    rows = [(f"n{i:03}", f"n{i + 1:03}") for i in range(99)] + [(f"m{r.randrange(90)}", f"m{r.randrange(90)}") for _ in range(60)] + [("s", "s"), ("é", "z"), (None, "alone"), (None, None)]
+    df = spark.createDataFrame(rows, "src string, dst string").repartition(3)
+    low = {x: x for row in rows for x in row if x}
+    for _ in range(200):
+        for a, b in rows:
+            if a and b:
+                low[a] = low[b] = min(low[a], low[b])
+    spark.sparkContext.setJobGroup("components", "")
+    try:
+        assert {x.node: x.component for x in G.components(df).collect()} == low
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("components")) <= 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    monkeypatch.setattr(G, "LOCAL_LINKS", 25)
+    assert {x.node: x.component for x in G.components(df).collect()} == low
+    assert G.components(df.limit(0)).count() == 0
