@@ -1,4 +1,5 @@
 import datetime as dt
+import hashlib
 import math
 import unicodedata
 
@@ -111,3 +112,16 @@ def test_names_alike_under_nfkc_fall_together(spark, tmp_path):
     assert {(r.norm, r.frequency) for r in CL.surface_modes(spark, str(tmp_path)).collect()} == {("fullwidthfile", 3), ("other", 1)}
     assert {r.relation for r in CL.pair_classify_nfkc(spark, str(tmp_path)).collect()} == {"SAME_AS"}
     assert sorted(r.n_mentions for r in CL.canonical_build(spark, str(tmp_path)).collect()) == [1, 2, 4]
+
+
+def test_advice_conflicts_need_few_jobs(spark):
+    rows = [(f"n{i:02}", f"n{i + 1:02}", "MERGE") for i in range(40)] + [("n40", "n00", "SEPARATE"), ("n03", "zz", "SEPARATE"), ("p", "q", "MERGE")]
+    df = spark.createDataFrame(rows, "left string, right string, decision string")
+    spark.sparkContext.setJobGroup("advice", "")
+    try:
+        got = [tuple(r) for r in E.advice_conflicts(df).collect()]
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("advice"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == [("n40", "n00", hashlib.sha256("|".join(f"n{i:02}" for i in range(41)).encode()).hexdigest())]
+    assert jobs <= 20
