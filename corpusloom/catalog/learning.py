@@ -9,6 +9,7 @@ from corpusloom.functions import irt, scoring
 from corpusloom.operators import graph as G
 from corpusloom.operators import learning as L
 from corpusloom.operators import resolve as E
+from corpusloom.plans.lineage import cut
 from corpusloom.sources.tables import table
 
 
@@ -142,15 +143,15 @@ def pair_classify(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_classify_nfkc(spark: SparkSession, d: str) -> DataFrame:
-    p = E.profiles(_mentions(spark, d))
+    p = cut(E.profiles(_mentions(spark, d)))
     return E.classify(E.candidate_pairs(p), p)
 
 
 def canonical_build(spark: SparkSession, d: str) -> DataFrame:
     m = _mentions(spark, d)
-    p = E.profiles(m)
+    p = cut(E.profiles(m))
     names = E.canonical_names(E.classify(E.candidate_pairs(p), p), p)
-    full = m.withColumn("norm", E.normalized_name(F.col("name"))).join(p.select("norm", F.col("name").alias("best")), "norm").drop("name").withColumnRenamed("best", "name")
+    full = m.withColumn("norm", E.normalized_name(F.col("name"))).join(p.select("norm", F.col("name").alias("best")).hint("merge"), "norm").drop("name").withColumnRenamed("best", "name")
     return E.canonical_concepts(full, names).withColumn("source_chunks", F.array_join("source_chunks", "|"))
 
 

@@ -7,27 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.graph import VIRTUAL
-
-
-def _grams(text: Column, n: int) -> Column:
-    """Distinct substrings of ``n`` characters; none of a shorter text."""
-    every = F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n)))
-    return F.when(F.length(text) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
-
-
-def contained(short: DataFrame, long: DataFrame, size: int = 4) -> DataFrame:
-    """(s_id, l_id) for every text s of ``short`` that stands inside a text l of ``long``.
-
-    ``short`` has s_id and s, ``long`` l_id and l. What contains s holds all its grams of
-    ``size`` characters (or s itself, if it is shorter), so a join on the rarest of them
-    finds every pair and common grams make none. Null and empty texts are in nothing.
-    """
-    short, long = short.where("s <> ''"), long.where("l <> ''")
-    index = long.select("l_id", "l", F.explode(F.array_distinct(F.flatten(F.array(*[_grams(F.col("l"), k) for k in range(1, size + 1)])))).alias("gram"))
-    often = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    own = short.select("s_id", "s", F.explode(F.when(F.length("s") < size, F.array("s")).otherwise(_grams(F.col("s"), size))).alias("gram"))
-    rare = own.join(often, "gram").groupBy("s_id", "s").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
-    return rare.join(index, "gram").where(F.col("l").contains(F.col("s"))).select("s_id", "l_id").distinct()
+from corpusloom.operators.substrings import contained
 
 
 def resolve(names: DataFrame, concepts: DataFrame, similar: DataFrame | None = None) -> DataFrame:
@@ -49,8 +29,9 @@ def resolve(names: DataFrame, concepts: DataFrame, similar: DataFrame | None = N
     two = contained(low_c.toDF("s_id", "s"), low_q.toDF("l_id", "l")).select(F.col("l_id").alias("query"), "s_id.canonical_id", "s_id.name")
     exact, inside = F.col("query") == F.col("name"), F.col("name").contains(F.col("query")) | F.col("query").contains(F.col("name"))
     found = one.unionByName(two).select("query", "canonical_id", F.when(exact, 1).when(inside, 2).otherwise(3).alias("strategy"))
-    words = q.select(F.col("query").alias("s_id"), F.explode(F.split(F.lower("query"), r"\s+")).alias("s")).where("length(s) >= 2")
-    word = contained(words.select(F.struct("s_id", "s").alias("s_id"), "s"), low_c).select(F.col("s_id.s_id").alias("query"), "l_id.canonical_id", F.lit(4).alias("strategy"))
+    words = q.select("query", F.explode(F.split(F.lower("query"), r"\s+")).alias("s")).where("length(s) >= 2").distinct()
+    first = contained(words.select(F.col("s").alias("s_id"), "s").distinct(), low_c).groupBy(F.col("s_id").alias("s")).agg(F.min("l_id.canonical_id").alias("canonical_id"))
+    word = words.join(first, "s").select("query", "canonical_id", F.lit(4).alias("strategy"))  # each word needs its smallest id only
     alias = c.select("canonical_id", F.explode("aliases").alias("l")).distinct().select(F.struct("canonical_id", "l").alias("l_id"), "l")
     alias = contained(q.select(F.col("query").alias("s_id"), F.col("query").alias("s")), alias).select(F.col("s_id").alias("query"), "l_id.canonical_id", F.lit(5).alias("strategy"))
     every = found.unionByName(word).unionByName(alias)

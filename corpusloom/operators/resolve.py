@@ -1,7 +1,7 @@
 """Entity resolution of concept mentions: profiles, pair classes, canonical concepts.
 
-The pairwise comparison is blocked: explicit aliases, equal bases and containment are found
-by equi-joins on normalised names and on their rarest grams; pairs that only likeness of
+The pairwise comparison is blocked: explicit aliases are found by equi-joins on normalised
+names, equal bases and containment by hashes of their substrings; pairs that only likeness of
 vectors joins come from ``linker.alike``, behind a bound that follows from its threshold. No
 step compares all pairs.
 """
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.operators.graph import components
+from corpusloom.operators.substrings import contained
 
 # Endings that don't change what a name means, and parts that do.
 SAFE_SUFFIXES = "技术 术语 概念".split()
@@ -76,25 +77,15 @@ def profiles(mentions: DataFrame, native: bool = False) -> DataFrame:
 def candidate_pairs(p: DataFrame) -> DataFrame:
     """Unordered pairs (l, r), l < r in norm, that an alias, a base or containment joins.
 
-    Every gram of four characters of a contained name or base (or all of a shorter one)
-    stands in the containing one, so a join on its rarest gram finds every containment, and
-    a test of the pair keeps only those. Frequent grams make no pairs.
+    A base is a part of its name, so whatever containment joins has one's base inside the
+    other's name; equal bases do too.
     """
     n = p.select("norm", weak_base(F.col("norm")).alias("base"), "alias_norms")
-    alias = n.select(F.col("norm").alias("l"), F.explode("alias_norms").alias("r")).join(n.select(F.col("norm").alias("r")), "r", "left_semi")
-    equal = n.join(n.select(F.col("norm").alias("r"), "base"), "base").select(F.col("norm").alias("l"), "r")
-    forms = n.select("norm", F.explode(F.array_distinct(F.array("norm", "base"))).alias("form"))
-
-    def cut(k: int) -> Column:
-        every = F.transform(F.sequence(F.lit(1), F.length("form") - (k - 1)), lambda i: F.substring("form", i, F.lit(k)))
-        return F.when(F.length("form") >= k, every).otherwise(F.array().cast("array<string>"))
-
-    index = forms.select("norm", "form", F.explode(F.array_distinct(F.flatten(F.array(*[cut(k) for k in range(1, 5)])))).alias("gram"))
-    common = index.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    own = forms.select("norm", "form", F.explode(F.when(F.length("form") < 4, F.array("form")).otherwise(F.array_distinct(cut(4)))).alias("gram"))
-    heads = own.join(common, "gram").groupBy(F.col("norm").alias("r"), F.col("form").alias("short")).agg(F.min_by("gram", F.struct("df", "gram")).alias("gram"))
-    inside = index.withColumnRenamed("norm", "l").join(heads, "gram").where((F.length("short") <= F.length("form")) & F.col("form").contains(F.col("short")))
-    every = alias.select("l", "r").unionByName(equal).unionByName(inside.select("l", "r")).where("l <> r")
+    alias = n.select(F.col("norm").alias("l"), F.explode("alias_norms").alias("r")).join(n.select(F.col("norm").alias("r")).hint("merge"), "r", "left_semi")
+    bases = n.select(F.col("norm").alias("r"), "base")
+    inside = contained(bases.select(F.col("base").alias("s_id"), F.col("base").alias("s")).distinct(), n.select(F.col("norm").alias("l_id"), F.col("norm").alias("l")))
+    inside = inside.select(F.col("s_id").alias("base"), F.col("l_id").alias("l")).join(bases.hint("merge"), "base")
+    every = alias.select("l", "r").unionByName(inside.select("l", "r")).where("l <> r")
     return every.select(F.least("l", "r").alias("l"), F.greatest("l", "r").alias("r")).distinct()
 
 
@@ -105,7 +96,7 @@ def classify(pairs: DataFrame, p: DataFrame, similarity: Column | None = None) -
     structural part with containment or likeness; containment; likeness in three steps.
     """
     side = lambda s: p.select(F.col("norm").alias(s), F.struct("name", "alias_norms", weak_base(F.col("norm")).alias("base"), marked(F.col("norm")).alias("mark")).alias(f"{s}p"))
-    x = pairs.join(side("l"), "l").join(side("r"), "r")
+    x = pairs.join(side("l").hint("merge"), "l").join(side("r").hint("merge"), "r")
     sim = similarity if similarity is not None else F.lit(0.0)
     l, r = F.col("l"), F.col("r")
     lb, rb = F.col("lp.base"), F.col("rp.base")
@@ -151,12 +142,12 @@ def canonical_names(classified: DataFrame, p: DataFrame) -> DataFrame:
     """
     e = classified.where("relation = 'SAME_AS' and decision = 'auto_merge'").select(F.col("left").alias("src"), F.col("right").alias("dst"))
     comp = components(e).withColumnRenamed("node", "name")
-    full = p.join(comp, "name", "left").withColumn("component", F.coalesce("component", "name"))
+    full = p.join(comp.hint("merge"), "name", "left").withColumn("component", F.coalesce("component", "name"))
     n, name = F.col("norm"), F.col("name")
     points = F.when(name.rlike(r"[\x{4E00}-\x{9FFF}]"), 1).otherwise(0) - F.when(name.rlike("^[A-Za-z][A-Za-z0-9.+_-]{1,15}$"), 1).otherwise(0)
     order = F.struct(marked(n), weak_base(n) != n, -points, -F.col("frequency"), F.length(name), name)
     best = full.groupBy("component").agg(F.min_by("name", order).alias("canonical"))
-    return full.join(best, "component").select("name", "canonical")
+    return full.join(best.hint("merge"), "component").select("name", "canonical")
 
 
 def canonical_concepts(mentions: DataFrame, names: DataFrame) -> DataFrame:
@@ -165,7 +156,7 @@ def canonical_concepts(mentions: DataFrame, names: DataFrame) -> DataFrame:
     ``mentions`` has name, concept_type, description, parent_hint and source_chunks; the type
     and hint are the most frequent (then smallest), the description the longest.
     """
-    m = mentions.join(names, "name")
+    m = mentions.join(names.hint("merge"), "name")
 
     def most(col: str) -> DataFrame:
         c = m.where(f"{col} <> ''").groupBy("canonical", col).agg(F.count(F.lit(1)).alias("n"))

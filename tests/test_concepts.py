@@ -102,3 +102,17 @@ def test_requests_and_marks(spark):
     counts = T.markup_counts(t)
     text = "![a](b) $x$ and $$y\nz$$ \\(q\\)\n| a | b |\n  | c |\n"
     assert [one(c, text) for c in counts.values()] == [1, 1, 2, 2]
+
+
+def test_contained_moves_what_is_found_only(spark, monkeypatch):
+    from corpusloom.operators import substrings as S
+
+    long = spark.createDataFrame([(i, f"{i:04}" + "abcdefgh" * 200 + ("needle" if i % 50 == 0 else "")) for i in range(100)], "l_id int, l string")
+    short = spark.createDataFrame([(1, "needle"), (2, "nowhere"), (3, "0007abc"), (4, "𝒳"), (4, "")], "s_id int, s string")
+    c = C.contained(short, long)
+    assert {tuple(x) for x in c.collect()} == {(1, 0), (1, 50), (3, 7)}
+    assert "Generate" not in c._jdf.queryExecution().executedPlan().toString()  # no table of grams
+    monkeypatch.setattr(S, "HELD_KEYS", 2)
+    monkeypatch.setattr(S, "SLICE", 3000)
+    assert {tuple(x) for x in C.contained(short, long).collect()} == {(1, 0), (1, 50), (3, 7)}
+    assert C.contained(short.limit(0), long).count() == 0 and C.contained(short, long.limit(0)).count() == 0
