@@ -9,7 +9,7 @@ from corpusloom.functions import irt, scoring
 from corpusloom.operators import graph as G
 from corpusloom.operators import learning as L
 from corpusloom.operators import resolve as E
-from corpusloom.plans.lineage import cut
+from corpusloom.plans.lineage import cut, release
 from corpusloom.sources.tables import table
 
 
@@ -151,8 +151,10 @@ def canonical_build(spark: SparkSession, d: str) -> DataFrame:
     m = _mentions(spark, d)
     p = cut(E.profiles(m))
     names = E.canonical_names(E.classify(E.candidate_pairs(p), p), p)
-    full = m.withColumn("norm", E.normalized_name(F.col("name"))).join(p.select("norm", F.col("name").alias("best")).hint("merge"), "norm").drop("name").withColumnRenamed("best", "name")
-    return E.canonical_concepts(full, names).withColumn("source_chunks", F.array_join("source_chunks", "|"))
+    of = cut(p.select("norm", "name").join(names.hint("merge"), "name").select("norm", "canonical"))
+    release(p)
+    full = m.withColumn("norm", E.normalized_name(F.col("name"))).drop("name", "aliases").join(of.hint("merge"), "norm")
+    return E.gathered(full).withColumn("source_chunks", F.array_join("source_chunks", "|"))
 
 
 def name_map(spark: SparkSession, d: str) -> DataFrame:

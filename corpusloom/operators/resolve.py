@@ -156,14 +156,18 @@ def canonical_concepts(mentions: DataFrame, names: DataFrame) -> DataFrame:
     ``mentions`` has name, concept_type, description, parent_hint and source_chunks; the type
     and hint are the most frequent (then smallest), the description the longest.
     """
-    m = mentions.join(names.hint("merge"), "name")
+    return gathered(mentions.join(names.hint("merge"), "name").drop("name"))
+
+
+def gathered(m: DataFrame) -> DataFrame:
+    """``canonical_concepts`` of mentions that have their canonical name already (no name)."""
 
     def most(col: str) -> DataFrame:
         c = m.where(f"{col} <> ''").groupBy("canonical", col).agg(F.count(F.lit(1)).alias("n"))
         return c.groupBy("canonical").agg(F.min_by(col, F.struct(-F.col("n"), col)).alias(col))
 
     rest = m.groupBy("canonical").agg(F.count(F.lit(1)).alias("n_mentions"), F.min_by("description", F.struct(-F.length("description"), "description")).alias("description"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("source_chunks")))).alias("source_chunks"))
-    out = rest.join(most("concept_type"), "canonical", "left").join(most("parent_hint"), "canonical", "left")
+    out = rest.join(most("concept_type").hint("merge"), "canonical", "left").join(most("parent_hint").hint("merge"), "canonical", "left")
     cid = F.concat(F.lit("concept_canonical_"), F.substring(F.md5(F.col("canonical").cast("binary")), 1, 10))
     return out.select(cid.alias("canonical_id"), F.col("canonical").alias("name"), "concept_type", F.coalesce("description", F.lit("")).alias("description"), F.coalesce("parent_hint", F.lit("")).alias("parent_hint"), "n_mentions", "source_chunks")
 

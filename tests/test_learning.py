@@ -125,3 +125,17 @@ def test_advice_conflicts_need_few_jobs(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == [("n40", "n00", hashlib.sha256("|".join(f"n{i:02}" for i in range(41)).encode()).hexdigest())]
     assert jobs <= 20
+
+
+def test_canonical_build_broadcasts_nothing(spark):
+    df = CL.canonical_build(spark, "/root/testdata/sf0.001")
+    assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+    n = CL._mentions(spark, "/root/testdata/sf0.001").where(E.normalized_name(F.col("name")) != "").count()
+    assert df.agg(F.sum("n_mentions")).first()[0] == n
+
+
+def test_candidate_pairs_make_no_grams(spark):
+    p = spark.createDataFrame([("ab技术", "ab技术", []), ("ab", "ab", ["zz"]), ("xaby", "xaby", []), ("zz", "zz", ["nothing"])], "norm string, name string, alias_norms array<string>")
+    c = E.candidate_pairs(p)
+    assert {tuple(r) for r in c.collect()} == {("ab", "ab技术"), ("ab", "xaby"), ("ab", "zz"), ("ab技术", "xaby")}
+    assert c._jdf.queryExecution().executedPlan().toString().count("Generate ") <= 2
