@@ -116,3 +116,11 @@ def test_contained_moves_what_is_found_only(spark, monkeypatch):
     monkeypatch.setattr(S, "SLICE", 3000)
     assert {tuple(x) for x in C.contained(short, long).collect()} == {(1, 0), (1, 50), (3, 7)}
     assert C.contained(short.limit(0), long).count() == 0 and C.contained(short, long.limit(0)).count() == 0
+
+
+def test_resolve_makes_no_grams_of_names(spark):
+    c = spark.createDataFrame([(f"c{i:03}", f"common thing {i}", None) for i in range(200)], "canonical_id string, name string, aliases array<string>")
+    q = spark.createDataFrame([(f"common way{i}",) for i in range(50)], "query string")
+    x = C.resolve(q, c)
+    assert {tuple(r) for r in x.collect()} == {(f"common way{i}", "c000", 4) for i in range(50)}
+    assert "sequence(" not in x._jdf.queryExecution().executedPlan().toString()
