@@ -11,6 +11,7 @@ from corpusloom.functions import text as T
 from corpusloom.operators import concepts as C
 from corpusloom.operators import gaps as GP
 from corpusloom.operators import learning as L
+from corpusloom.operators import likeness as N
 from corpusloom.operators import linker as K
 from corpusloom.operators import resolve as E
 from corpusloom.sources.tables import table
@@ -42,14 +43,11 @@ def context_assembled(spark: SparkSession, d: str) -> DataFrame:
     return C.assembled(context_trim(spark, d), c).select("seed", F.md5("text").alias("digest"), "tokens")
 
 
-def _alike(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "canonical_concepts").groupBy("canonical_id").agg(F.max("name").alias("name"))
-    return K.alike(K.word_vectors(c, "canonical_id", F.col("name")), "canonical_id", 0.72)
-
-
 def concept_likeness(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of concepts whose hash embeddings of the name are alike."""
-    return _alike(spark, d)
+    c = table(spark, d, "canonical_concepts").groupBy("canonical_id").agg(F.max("name").alias("name"))
+    x = N.alike(N.word_rows(c.where("canonical_id is not null").select("canonical_id", "name"), F.col("name")).drop("name"), "canonical_id", 0.72)
+    return x.select("a.canonical_id", "b.canonical_id", "score").toDF("a", "b", "score")
 
 
 def likeness_links(spark: SparkSession, d: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text as T
+from corpusloom.operators import likeness
 from corpusloom.operators.gaps import Paradigm
 from corpusloom.operators.graph import VIRTUAL
 from corpusloom.plans.lineage import cut
@@ -19,24 +20,9 @@ def word_vectors(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
 
 def alike(vectors: DataFrame, key: str, least: float) -> DataFrame:
-    """(a, b, score), a < b: pairs of sparse unit vectors with a cosine of ``least`` or more.
-
-    Entries are ordered by how few vectors have them. Once what is left of a vector is shorter
-    than ``least``, it can't make a pair by itself, so two vectors that are alike share an
-    entry before that point: only those are joined, and the commonest slots are left alone.
-    Pairs are then scored over all entries.
-    """
-    often = vectors.groupBy("slot").agg(F.count(F.lit(1)).alias("n"))
-    full = vectors.join(often, "slot").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("n", "slot", "w"))).alias("v"))
-    full = cut(full.select(F.col(key).alias("k"), "v"))
-    # the first entries, up to where the rest of the vector is too short
-    tail = F.aggregate(F.reverse("v"), F.struct(F.lit(0.0).alias("sum"), F.lit(0).alias("out")), lambda s, x: F.struct((s["sum"] + x["w"] * x["w"]).alias("sum"), (s["out"] + F.when(s["sum"] + x["w"] * x["w"] < least * least - 1e-9, 1).otherwise(0)).alias("out")))["out"]
-    heads = full.select("k", F.explode(F.slice("v", F.lit(1), F.size("v") - tail)).alias("x")).select("k", "x.slot")
-    met = heads.toDF("a", "slot").join(heads.toDF("b", "slot"), "slot").where("a < b").select("a", "b").distinct()
-    both = met.join(full.toDF("a", "va"), "a").join(full.toDF("b", "vb"), "b")
-    at = F.map_from_entries(F.transform("vb", lambda x: F.struct(x["slot"], x["w"])))
-    score = F.aggregate("va", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.try_element_at(at, x["slot"]), F.lit(0.0)))
-    return both.select("a", "b", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+    """(a, b, score), a < b: pairs of sparse unit vectors (key, slot, w) with a cosine of ``least`` or more."""
+    x = likeness.alike(likeness.entry_rows(vectors, key), key, least)
+    return x.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), "score")
 
 
 def transitions(p: Paradigm) -> Column:
