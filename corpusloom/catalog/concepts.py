@@ -14,6 +14,7 @@ from corpusloom.operators import learning as L
 from corpusloom.operators import likeness as N
 from corpusloom.operators import linker as K
 from corpusloom.operators import resolve as E
+from corpusloom.plans.lineage import cut
 from corpusloom.sources.tables import table
 
 
@@ -46,7 +47,7 @@ def context_assembled(spark: SparkSession, d: str) -> DataFrame:
 def concept_likeness(spark: SparkSession, d: str) -> DataFrame:
     """Pairs of concepts whose hash embeddings of the name are alike."""
     c = table(spark, d, "canonical_concepts").groupBy("canonical_id").agg(F.max("name").alias("name"))
-    x = N.alike(N.word_rows(c.where("canonical_id is not null").select("canonical_id", "name"), F.col("name")).drop("name"), "canonical_id", 0.72)
+    x = N.alike(cut(N.word_rows(c.where("canonical_id is not null"), F.col("name")).drop("name")), "canonical_id", 0.72)
     return x.select("a.canonical_id", "b.canonical_id", "score").toDF("a", "b", "score")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from corpusloom.catalog import concepts as CC
 from corpusloom.catalog import graph as CG
@@ -13,10 +14,11 @@ from corpusloom.functions import irt
 from corpusloom.functions import text as T
 from corpusloom.operators import concepts as C
 from corpusloom.operators import graph as G
-from corpusloom.operators import linker as K
+from corpusloom.operators import likeness as N
 from corpusloom.operators import linking
 from corpusloom.operators import resolve as E
 from corpusloom.operators import review as R
+from corpusloom.plans.lineage import cut
 from corpusloom.sources.tables import table
 
 
@@ -122,13 +124,12 @@ def question_cache(spark: SparkSession, d: str) -> DataFrame:
     """The earlier question of the same subject that a cache would answer with: the same text, else one alike by 0.95."""
     q = table(spark, d, "question_bank").where("question <> '' and subject is not null").groupBy("id").agg(F.min("subject").alias("subject"), F.min("question").alias("question"), F.min("created_at").alias("at"))
     q = q.withColumn("norm", F.md5(T.normalized_question(F.col("question"))))
-    a, b = q.select("id", "subject", "at", "norm"), q.select(F.col("id").alias("hit"), "subject", F.col("at").alias("bt"), "norm")
-    before = F.struct("bt", "hit") < F.struct("at", "id")
-    same = a.join(b, ["subject", "norm"]).where(before).select("id", "hit", F.lit(0).alias("how"), F.lit(-1.0).alias("s"))
-    near = K.alike(K.word_vectors(q, "id", F.col("question")), "id", 0.95)
-    near = near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
-    near = near.join(a.withColumnRenamed("id", "a"), "a").join(b.drop("norm").withColumnRenamed("hit", "b"), ["b", "subject"])
-    near = near.where(F.struct("bt", F.col("b").alias("hit")) < F.struct("at", F.col("a").alias("id"))).select(F.col("a").alias("id"), F.col("b").alias("hit"), F.lit(1).alias("how"), (-F.col("score")).alias("s"))
+    q = cut(N.word_rows(q, F.col("question")).drop("question"))
+    earlier = F.min("id").over(Window.partitionBy("subject", "norm").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, -1))
+    same = q.select("id", earlier.alias("hit"), F.lit(0).alias("how"), F.lit(-1.0).alias("s")).where("hit is not null")
+    near = N.alike(q.drop("norm"), "id", 0.95, "subject")
+    later = F.struct("b.at", "b.id") > F.struct("a.at", "a.id")
+    near = near.select(F.when(later, F.col("b.id")).otherwise(F.col("a.id")).alias("id"), F.when(later, F.col("a.id")).otherwise(F.col("b.id")).alias("hit"), F.lit(1).alias("how"), (-F.col("score")).alias("s"))
     best = same.unionByName(near).groupBy("id").agg(F.min(F.struct("how", "s", "hit")).alias("m"))
     return best.select("id", "m.hit", F.when(F.col("m.how") == 0, "exact").otherwise("near").alias("how"))
 

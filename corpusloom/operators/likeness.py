@@ -20,7 +20,7 @@ from corpusloom.plans.lineage import cut
 from corpusloom.plans.sizes import small
 
 #: Vectors of a block; larger groups are compared as pairs of blocks.
-BLOCK = 16_384
+BLOCK = 32_768
 #: Blocks of the largest group up to which groups are compared whole.
 WHOLE = 12
 #: Sums that slots are folded to for a bound, pairs scored at once, rows sent at once.
@@ -30,14 +30,13 @@ _SLACK = 1e-6  # scores are rounded to six digits
 
 
 def _packed(rows: pa.RecordBatch, of: np.ndarray, slot: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
-    """``rows`` with s and w of unit length; entries of one row and slot are summed, rows without any dropped."""
+    """``rows`` with s and w of unit length; entries of one row and slot are summed."""
     key, at = np.unique(of.astype(np.int64) << _BITS | slot, return_inverse=True)
     w, row = np.bincount(at, weights=weight, minlength=len(key)), key >> _BITS
     w = w / np.sqrt(np.bincount(row, weights=w * w, minlength=rows.num_rows))[row]
     order = np.lexsort((key, w, row))
     n = np.bincount(row, minlength=rows.num_rows)
-    kept = np.flatnonzero(n)
-    return _with(rows.take(pa.array(kept)), n[kept], (key[order] & ((1 << _BITS) - 1)).astype("<u2"), w[order])
+    return _with(rows, n, (key[order] & ((1 << _BITS) - 1)).astype("<u2"), w[order])
 
 
 def _with(rows: pa.RecordBatch, n: np.ndarray, s: np.ndarray, w: np.ndarray) -> pa.RecordBatch:
@@ -72,7 +71,7 @@ def _vectors_of(df: DataFrame) -> StructType:
 
 
 def word_rows(rows: DataFrame, text: Column, dim: int = 2048) -> DataFrame:
-    """``rows`` with the packed hash embedding of a text; rows without a word are dropped."""
+    """``rows`` with the packed hash embedding of a text, empty if it has no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -106,15 +105,11 @@ def word_scores(pairs: DataFrame, left: Column, right: Column, dim: int = 2048)
             if b.num_rows:
                 at = pa.RecordBatch.from_arrays([pa.array(np.arange(b.num_rows))], names=["at"])
                 score = np.zeros(b.num_rows)
-                a, c = (_packed(at, *_hashed(b.column(b.num_columns - k), dim)) for k in (2, 1))
-                i, j = (np.full(b.num_rows, -1) for _ in range(2))
-                for x, side in ((a, i), (c, j)):
-                    side[x.column(0).to_numpy()] = np.arange(x.num_rows)
-                both = np.flatnonzero((i >= 0) & (j >= 0))
-                left_, right_ = _Block(a), _Block(c)
+                a, c = (_Block(_packed(at, *_hashed(b.column(b.num_columns - k), dim))) for k in (2, 1))
+                both = np.flatnonzero((a.n > 0) & (c.n > 0))
                 for k in range(0, len(both), SCORED):
                     part = both[k : k + SCORED]
-                    score[part] = left_.scores(right_, i[part], j[part])[0]
+                    score[part] = a.scores(c, part, part)[0]
                 yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(score)], names=[*b.schema.names[:-2], "score"])
 
     return pairs.withColumn("_left", _words(left)).withColumn("_right", _words(right)).mapInArrow(run, StructType([*pairs.schema.fields, StructField("score", DoubleType())]))
@@ -125,10 +120,10 @@ class _Block:
 
     def __init__(self, rows: pa.RecordBatch, fold: bool = False):
         self.n, slot, self.w = _entries(rows)
-        self.slot, self.head = slot & ((1 << _BITS) - 1), slot >> _BITS
+        self.slot, self.head = (slot & ((1 << _BITS) - 1)).astype(np.int32), slot >> _BITS > 0
         self.start, of = np.cumsum(self.n) - self.n, np.repeat(np.arange(len(self.n)), self.n)
         key = of << _BITS | self.slot
-        self.order = np.argsort(key)
+        self.order = np.argsort(key).astype(np.int32)
         self.key = key[self.order]
         if fold:
             self.fold = np.sqrt(np.bincount(of * FOLD + self.slot % FOLD, weights=self.w * self.w, minlength=len(self.n) * FOLD)).reshape(-1, FOLD).astype(np.float32)
@@ -176,15 +171,15 @@ def _compared(rows: pa.Table, least: float) -> Iterator[tuple[np.ndarray, np.nda
 def alike(vectors: DataFrame, key: str, least: float, within: str | None = None) -> DataFrame:
     """(a, b, score): pairs of packed vectors with a cosine of ``least`` or more, a.key < b.key.
 
-    ``vectors`` has a unique key, s, w and any other columns; a and b are structs of all but s
-    and w. With ``within`` only pairs with an equal value of that column count (null equals
+    ``vectors`` has a unique key, s, w and any other columns, and is read several times, so it
+    should be cut; a and b are structs of all but s and w. Empty vectors are like nothing. With ``within`` only pairs with an equal value of that column count (null equals
     nothing). Small groups are compared whole. Else entries are ordered by how few vectors have
     them; once what is left of a vector is shorter than ``least``, it can't make a pair by
     itself, so two vectors that are alike share an entry before that point, their heads: each
     vector is sent to the slots of its head, and the commonest slots are left alone.
     """
     own = [c for c in vectors.columns if c not in ("s", "w")]
-    full = cut(vectors if within is None else vectors.where(F.col(within).isNotNull()))
+    full = vectors if within is None else vectors.where(F.col(within).isNotNull())
     fields = StructType([f for f in full.schema.fields if f.name in own])
     group = F.lit("") if within is None else F.col(within).cast("string")
     rows = full.withColumn("slot", F.lit(-1)).withColumn("g", group)

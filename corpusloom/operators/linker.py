@@ -21,7 +21,7 @@ def word_vectors(rows: DataFrame, key: str, text: Column) -> DataFrame:
 
 def alike(vectors: DataFrame, key: str, least: float) -> DataFrame:
     """(a, b, score), a < b: pairs of sparse unit vectors (key, slot, w) with a cosine of ``least`` or more."""
-    x = likeness.alike(likeness.entry_rows(vectors, key), key, least)
+    x = likeness.alike(cut(likeness.entry_rows(vectors, key)), key, least)
     return x.select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"), "score")
 
 

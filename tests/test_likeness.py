@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.catalog import review as CR
 from corpusloom.operators import likeness as N
 from corpusloom.operators import linker as K
 
@@ -48,3 +49,14 @@ def test_no_pair_is_moved_to_be_scored(spark):
     v = K.word_vectors(_made(spark), "k", F.col("t"))
     plan = K.alike(v, "k", 0.72)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "Aggregate" not in plan
+
+
+def test_cache_compares_within_a_subject_only(spark, tmp_path, monkeypatch):
+    words = " ".join(f"w{i}" for i in range(30))
+    at = lambda d: f"2024-01-0{d} 00:00:00"
+    rows = [("q1", "x", words, at(3)), ("q2", "x", words.upper(), at(2)), ("q3", "x", words.replace("w7 ", "v7 "), at(1)), ("q4", "y", words, at(4)), ("q5", None, words, at(1)), ("q6", "x", "", at(1)), ("q7", "x", "other words here", None)]
+    spark.createDataFrame(rows, "id string, subject string, question string, t string").selectExpr("id", "subject", "question", "timestamp(t) as created_at").write.parquet(f"{tmp_path}/question_bank.parquet")
+    within, run = [], N.alike
+    monkeypatch.setattr(N, "alike", lambda v, key, least, group=None: within.append(group) or run(v, key, least, group))
+    got = {(r.id, r.hit, r.how) for r in CR.question_cache(spark, str(tmp_path)).collect()}
+    assert got == {("q1", "q2", "exact"), ("q2", "q3", "near")} and within == ["subject"]
