@@ -52,7 +52,8 @@ def concept_likeness(spark: SparkSession, d: str) -> DataFrame:
 
 
 def likeness_links(spark: SparkSession, d: str) -> DataFrame:
-    return K.likeness_links(_alike(spark, d), CG._types(spark, d), CG._edges(spark, d), GP.THEORY)
+    c = table(spark, d, "canonical_concepts").where("canonical_id is not null").groupBy("canonical_id").agg(F.max("name").alias("name"), F.min("concept_type").alias("type"))
+    return K.likeness_links(c.select(F.col("canonical_id").alias("node"), "name", "type"), CG._edges(spark, d), GP.THEORY, 0.72)
 
 
 def pair_classify_likeness(spark: SparkSession, d: str) -> DataFrame:

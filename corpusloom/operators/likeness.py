@@ -250,10 +250,10 @@ def _by_head(full: DataFrame, least: float) -> DataFrame:
             n, slot, w = _entries(b)
             of = np.repeat(np.arange(len(n)), n)
             order = np.lexsort((-rank[slot], of))  # the commonest first
-            sums, ends = np.cumsum(w[order] ** 2), np.cumsum(n)
-            before = np.where(ends > n, sums[ends - n - 1], 0.0)
+            sums = np.concatenate([[0.0], np.cumsum(w[order] ** 2)])
+            before = sums[np.cumsum(n) - n]
             head = np.empty(len(slot), dtype=bool)
-            head[order] = sums - np.repeat(before, n) >= (least - 2 * _SLACK) ** 2
+            head[order] = sums[1:] - np.repeat(before, n) >= (least - 2 * _SLACK) ** 2
             rows = _with(b.select([c for c in b.schema.names if c not in ("s", "w")]), n, (slot | head.astype(np.int64) << _BITS).astype("<u2"), w)
             at = np.flatnonzero(head)
             out = rows.take(pa.array(of[at]))

@@ -10,6 +10,7 @@ from corpusloom.operators import likeness
 from corpusloom.operators.gaps import Paradigm
 from corpusloom.operators.graph import VIRTUAL
 from corpusloom.plans.lineage import cut
+from corpusloom.plans.sizes import small
 
 
 def word_vectors(rows: DataFrame, key: str, text: Column) -> DataFrame:
@@ -30,17 +31,23 @@ def transitions(p: Paradigm) -> Column:
     return F.create_map(*[F.lit(x) for (a, b), r in p.relations.items() for x in (f"{a}>{b}", r)])
 
 
-def likeness_links(pairs: DataFrame, types: DataFrame, existing: DataFrame, p: Paradigm) -> DataFrame:
-    """(parent, child, rel, score): pairs that a paradigm's transitions allow and no edge joins yet.
+def likeness_links(nodes: DataFrame, existing: DataFrame, p: Paradigm, least: float) -> DataFrame:
+    """(parent, child, rel, score): pairs alike that a paradigm's transitions allow and no edge joins yet.
 
-    ``pairs`` has a, b and score in either order, ``types`` node and type, ``existing`` src
-    and dst. A pair whose types allow both directions gives both.
+    ``nodes`` has a unique node, name and type, ``existing`` src and dst; names are alike by
+    their words. A pair whose types allow both directions gives both.
+
+    Types travel with the vectors. Of the edges only those between nodes alike matter; they
+    are scored by themselves, so the pairs needn't be moved to meet edges while those are few.
     """
-    both = pairs.select(F.col("a").alias("parent"), F.col("b").alias("child"), "score").unionByName(pairs.select(F.col("b").alias("parent"), F.col("a").alias("child"), "score"))
-    t = types.groupBy("node").agg(F.min("type").alias("type"))
-    x = both.join(t.toDF("parent", "pt"), "parent").join(t.toDF("child", "ct"), "child")
-    x = x.withColumn("rel", F.element_at(transitions(p), F.concat("pt", F.lit(">"), "ct"))).where("rel is not null")
-    return x.join(existing.select(F.col("src").alias("parent"), F.col("dst").alias("child")).distinct(), ["parent", "child"], "left_anti").select("parent", "child", "rel", "score")
+    named = nodes.where("type is not null")
+    rel = lambda a, b: F.element_at(transitions(p), F.concat(a, F.lit(">"), b))
+    pairs = likeness.alike(cut(likeness.word_rows(named, F.col("name")).drop("name")), "node", least)
+    x = pairs.select(F.explode(F.array(*[F.struct(F.col(f"{s}.node").alias("parent"), F.col(f"{t}.node").alias("child"), rel(F.col(f"{s}.type"), F.col(f"{t}.type")).alias("rel")) for s, t in ("ab", "ba")])).alias("x"), "score")
+    x = x.select("x.*", "score").where("rel is not null")
+    e = existing.select("src", "dst").distinct().join(named.toDF("src", "an", "at"), "src").join(named.toDF("dst", "bn", "bt"), "dst").where(rel(F.col("at"), F.col("bt")).isNotNull())
+    e = likeness.word_scores(e.select("src", "dst", "an", "bn"), F.col("an"), F.col("bn")).where(F.col("score") >= least - 0.001)
+    return x.join(small(cut(e.select(F.col("src").alias("parent"), F.col("dst").alias("child")))), ["parent", "child"], "left_anti").select("parent", "child", "rel", "score")
 
 
 def cross_relation(parent: Column, child: Column, p: Paradigm, default: str = "DEPEND_ON") -> Column:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import review as CR
+from corpusloom.operators import gaps as GP
 from corpusloom.operators import likeness as N
 from corpusloom.operators import linker as K
 
@@ -60,3 +61,13 @@ def test_cache_compares_within_a_subject_only(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(N, "alike", lambda v, key, least, group=None: within.append(group) or run(v, key, least, group))
     got = {(r.id, r.hit, r.how) for r in CR.question_cache(spark, str(tmp_path)).collect()}
     assert got == {("q1", "q2", "exact"), ("q2", "q3", "near")} and within == ["subject"]
+
+
+def test_links_alike_skip_edges_and_move_no_pairs(spark):
+    (first, second), rel = next((k, r) for k, r in GP.THEORY.relations.items() if k[0] != k[1])
+    nodes = spark.createDataFrame([("a", "one two three four", first), ("b", "one two three five", second), ("c", "one two three six", second), ("d", "one two three six", None), ("e", None, first)], "node string, name string, type string")
+    edges = spark.createDataFrame([("a", "c"), ("b", "zz"), ("a", "c")], "src string, dst string")
+    df = K.likeness_links(nodes, edges, GP.THEORY, 0.72)
+    assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+    got = {(r.parent, r.child): r.rel for r in df.collect()}
+    assert got[("a", "b")] == rel and ("a", "c") not in got and not {x for p in got for x in p} & {"d", "e"}
