@@ -58,9 +58,8 @@ def likeness_links(spark: SparkSession, d: str) -> DataFrame:
 
 def pair_classify_likeness(spark: SparkSession, d: str) -> DataFrame:
     """The whole ladder: candidates by alias, base and containment, and by likeness of names."""
-    p = E.profiles(CL._mentions(spark, d), native=True)
-    alike = K.alike(K.word_vectors(p, "norm", F.col("name")), "norm", E.RELATED)
-    return E.classify_alike(E.candidate_pairs(p), alike.toDF("l", "r", "score"), p)
+    p = cut(E.profiles(CL._mentions(spark, d), native=True))
+    return E.classify_alike(E.candidate_pairs(p), p)
 
 
 def has_detail_layers(spark: SparkSession, d: str) -> DataFrame:

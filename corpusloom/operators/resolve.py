@@ -2,7 +2,7 @@
 
 The pairwise comparison is blocked: explicit aliases are found by equi-joins on normalised
 names, equal bases and containment by hashes of their substrings; pairs that only likeness of
-vectors joins come from ``linker.alike``, behind a bound that follows from its threshold. No
+vectors joins come from ``likeness.alike``, behind a bound that follows from its threshold. No
 step compares all pairs.
 """
 
@@ -15,8 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators import likeness
 from corpusloom.operators.graph import components
 from corpusloom.operators.substrings import contained
+from corpusloom.plans.lineage import cut
 
 # Endings that don't change what a name means, and parts that do.
 SAFE_SUFFIXES = "技术 术语 概念".split()
@@ -95,9 +97,18 @@ def classify(pairs: DataFrame, p: DataFrame, similarity: Column | None = None) -
     The ladder, first match: explicit alias; equal base of an acronym; equal base; a
     structural part with containment or likeness; containment; likeness in three steps.
     """
-    side = lambda s: p.select(F.col("norm").alias(s), F.struct("name", "alias_norms", weak_base(F.col("norm")).alias("base"), marked(F.col("norm")).alias("mark")).alias(f"{s}p"))
+    side = lambda s: p.select(F.col("norm").alias(s), _side().alias(f"{s}p"))
     x = pairs.join(side("l").hint("merge"), "l").join(side("r").hint("merge"), "r")
-    sim = similarity if similarity is not None else F.lit(0.0)
+    return _ladder(x, similarity if similarity is not None else F.lit(0.0))
+
+
+def _side() -> Column:
+    """What the ladder needs of a profile besides its norm."""
+    return F.struct("name", "alias_norms", weak_base(F.col("norm")).alias("base"), marked(F.col("norm")).alias("mark"))
+
+
+def _ladder(x: DataFrame, sim: Column) -> DataFrame:
+    """The ladder for pairs l, r (norms) with what it needs of either side, lp and rp."""
     l, r = F.col("l"), F.col("r")
     lb, rb = F.col("lp.base"), F.col("rp.base")
     explicit = F.array_contains("lp.alias_norms", r) | F.array_contains("rp.alias_norms", l)
@@ -128,10 +139,23 @@ def classify(pairs: DataFrame, p: DataFrame, similarity: Column | None = None) -
     return out
 
 
-def classify_alike(pairs: DataFrame, alike: DataFrame, p: DataFrame) -> DataFrame:
-    """``classify`` with likeness: ``alike`` has l, r (l < r in norm) and score, and adds pairs."""
-    every = pairs.select("l", "r").unionByName(alike.select("l", "r")).distinct()
-    return classify(every.join(alike, ["l", "r"], "left"), p, F.coalesce("score", F.lit(0.0)))
+def classify_alike(pairs: DataFrame, p: DataFrame) -> DataFrame:
+    """``classify`` of candidate ``pairs`` (l, r) and of all pairs whose names are alike by words.
+
+    What the ladder needs travels with the vectors (a base only where it isn't the norm), so
+    pairs alike are classified where they are found. Candidates are scored by themselves;
+    those alike are among the others already.
+    """
+    base = weak_base(F.col("norm"))
+    held = p.select("norm", "name", F.when(F.size("alias_norms") > 0, F.col("alias_norms")).alias("alias_norms"), F.when(base != F.col("norm"), base).alias("base"), marked(F.col("norm")).alias("mark"))
+    x = likeness.alike(cut(likeness.word_rows(held, F.col("name"))), "norm", RELATED)
+    none = F.array().cast("array<string>")
+    full = lambda s: F.struct(F.col(f"{s}.name").alias("name"), F.coalesce(f"{s}.alias_norms", none).alias("alias_norms"), F.coalesce(f"{s}.base", f"{s}.norm").alias("base"), F.col(f"{s}.mark").alias("mark"))
+    found = x.select(F.col("a.norm").alias("l"), F.col("b.norm").alias("r"), full("a").alias("lp"), full("b").alias("rp"), "score")
+    side = lambda s: p.select(F.col("norm").alias(s), _side().alias(f"{s}p")).hint("merge")
+    rest = pairs.join(side("l"), "l").join(side("r"), "r")
+    rest = likeness.word_scores(rest, F.col("lp.name"), F.col("rp.name")).where(F.round("score", 6) < RELATED).withColumn("score", F.lit(0.0))
+    return _ladder(found, F.col("score")).unionByName(_ladder(rest, F.col("score")))
 
 
 def canonical_names(classified: DataFrame, p: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from corpusloom.catalog import concepts as CC
 from corpusloom.catalog import review as CR
 from corpusloom.operators import gaps as GP
 from corpusloom.operators import likeness as N
@@ -71,3 +72,15 @@ def test_links_alike_skip_edges_and_move_no_pairs(spark):
     assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
     got = {(r.parent, r.child): r.rel for r in df.collect()}
     assert got[("a", "b")] == rel and ("a", "c") not in got and not {x for p in got for x in p} & {"d", "e"}
+
+
+def test_ladder_runs_where_pairs_alike_are_found(spark, tmp_path):
+    names = ["red green blue cat", "red green blue dog", "red green blue", "blue", "x y", "y x"]
+    spark.createDataFrame([(n, ["y x"] if n == "x y" else [], "t", "", "", ["s"]) for n in names], "name string, aliases array<string>, concept_type string, description string, parent_hint string, source_chunks array<string>").write.parquet(f"{tmp_path}/canonical_concepts.parquet")
+    df = CC.pair_classify_likeness(spark, str(tmp_path))
+    got = sorted((r.left, r.right, r.relation, r.confidence) for r in df.collect())
+    assert [x[:3] for x in got if "cat" in x[0] + x[1]] == [("blue", "red green blue cat", "NARROWER_THAN"), ("red green blue", "red green blue cat", "NARROWER_THAN"), ("red green blue cat", "red green blue dog", "RELATED_TO")]
+    assert [x[3] for x in got if {x[0], x[1]} == {"x y", "y x"}] == [0.99] and len(got) == len({x[:2] for x in got})
+    # candidates aren't joined with all pairs alike, which are classified where they are found
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert not any("SortMergeJoin" in x and "LeftOuter" in x for x in plan.splitlines())
