@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from corpusloom.operators.hierarchy import parent_table, resolved
-from corpusloom.plans.lineage import cut, release
+from corpusloom.plans.lineage import cut, cut_unsized, release
 
 # Marks of placeholder nodes.
 VIRTUAL = "__virtual_"
@@ -163,7 +163,8 @@ def components(edges: DataFrame) -> DataFrame:
     size, and only the links from nodes to the smallest of their sets there go on in rounds:
     every label hooks onto the smallest label beside it, the chains that form are halved until
     flat, and edges are contracted to labels; at most half of a component's labels are left,
-    so rounds are logarithmic and the edges shrink. Null ends join nothing.
+    so rounds are logarithmic and the edges shrink, until one task merges the rest. Null ends
+    join nothing.
     """
     e = edges.select(F.coalesce("src", "dst").cast("string").alias("src"), F.coalesce("dst", "src").cast("string").alias("dst")).where("src is not null")
     e = cut(e.distinct())
@@ -173,23 +174,29 @@ def components(edges: DataFrame) -> DataFrame:
     release(e)
     if n <= LOCAL_LINKS:
         return found
-    links = cut(undirected(found.toDF("src", "dst")).distinct())
-    label = cut(links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    links = cut_unsized(undirected(found.toDF("src", "dst")).distinct())
+    label = cut_unsized(links.select(F.col("a").alias("node")).distinct().withColumn("component", F.col("node")))
+    release(found)
     links = links.where("a <> b")
     while True:
-        hooks = cut(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
-        if hooks.isEmpty():
-            return label
-        while True:  # node -> up -> up: a label's chain falls strictly, so it has no cycle
+        local = links.count() <= LOCAL_LINKS
+        if local:
+            hooks = cut_unsized(links.coalesce(1).mapInArrow(_merged, "node string, component string").toDF("node", "up"))
+        else:
+            hooks = cut_unsized(links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up")))
+        while not local:  # node -> up -> up: a label's chain falls strictly, so it has no cycle
             above = hooks.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            step = cut(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+            step = cut_unsized(hooks.join(above, "up").select("node", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
             hooks = step.select("node", "up")
             if step.where("moved").isEmpty():
                 break
         to = hooks.select(F.col("node").alias("component"), "up")
-        label = cut(label.join(to, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        old, label = label, cut_unsized(label.join(to, "component", "left").select("node", F.coalesce("up", "component").alias("component")))
+        release(old)
+        if local:
+            return label
         one = links.join(hooks.withColumnRenamed("node", "a"), "a").select(F.col("up").alias("x"), "b")
-        links = cut(one.join(hooks.withColumnRenamed("node", "b"), "b").select(F.col("x").alias("a"), F.col("up").alias("b")).where("a <> b").distinct())
+        links = cut_unsized(one.join(hooks.withColumnRenamed("node", "b"), "b").select(F.col("x").alias("a"), F.col("up").alias("b")).where("a <> b").distinct())
 
 
 def _forest(edges: DataFrame) -> bool:

@@ -28,6 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def cut_unsized(df: DataFrame) -> DataFrame:
+    """``cut``, whose result also has no estimate of its size.
+
+    A checkpoint keeps the estimate of its plan, and that of a join is the product of both
+    sides. Where a loop joins what it made before, the digits double in every round, and
+    planning soon does nothing but multiply them.
+    """
+    out = cut(df)
+    plan, jvm = out._jdf.queryExecution().logical(), df.sparkSession._jvm
+    none = jvm.scala.Option.empty()
+    plan = jvm.org.apache.spark.sql.execution.LogicalRDD(plan.output(), plan.rdd(), plan.outputPartitioning(), plan.outputOrdering(), False, none, df.sparkSession._jsparkSession, none, none)
+    return DataFrame(jvm.org.apache.spark.sql.classic.Dataset.ofRows(df.sparkSession._jsparkSession, plan), df.sparkSession)
+
+
 def release(df: DataFrame) -> None:
     """Delete the files of a checkpoint that ``cut`` made and nothing will read any more.
 

@@ -1,12 +1,14 @@
 import datetime as dt
 import hashlib
 import math
+import random
 import unicodedata
 
 from pyspark.sql import functions as F
 
 from corpusloom.catalog import learning as CL
 from corpusloom.functions import irt, scoring
+from corpusloom.operators import graph as G
 from corpusloom.operators import learning as L
 from corpusloom.operators import resolve as E
 
@@ -127,6 +129,19 @@ def test_advice_conflicts_need_few_jobs(spark):
     assert jobs <= 20
 
 
+def test_advice_conflicts_beyond_one_task(spark, monkeypatch):
+    monkeypatch.setattr(G, "LOCAL_LINKS", 25)
+    names = [f"n{i:03}" for i in range(200)]
+    path = random.Random(4).sample(names, len(names))
+    rows = [(a, b, "MERGE") for a, b in zip(path, path[1:])] + [("n005", "n100", "SEPARATE"), ("n005", "zz", "SEPARATE")]
+    df = spark.createDataFrame(rows, "left string, right string, decision string")
+    comp = G.components(df.where("decision = 'MERGE'").toDF("src", "dst", "rel"))
+    assert {tuple(r) for r in comp.collect()} == {(n, "n000") for n in names}
+    size = comp._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert size < 2**63  # estimates that rounds multiply keep the planner busy for hours
+    assert [tuple(r) for r in E.advice_conflicts(df).collect()] == [("n005", "n100", hashlib.sha256("|".join(names).encode()).hexdigest())]
+
+
 def test_canonical_build_broadcasts_nothing(spark):
     df = CL.canonical_build(spark, "/root/testdata/sf0.001")
     assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
